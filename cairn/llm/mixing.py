@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 4_000
 
 
 def n_words(text: Column) -> Column:
