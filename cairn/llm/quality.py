@@ -22,30 +22,28 @@ def text_counts(docs: DataFrame) -> DataFrame:
     their places, so time and memory are those of one text's words; no text is cut.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.split(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")), " +")
-    removed = lambda chars: F.length("text") - F.length(F.translate("text", chars, ""))
+    removed = lambda chars: (F.length("marks") - F.length(F.translate("marks", chars, ""))).cast("long")
     base = docs.select("doc_id", text.alias("text")).select(
         "doc_id",
-        "text",
-        F.when(F.length(F.trim(F.translate(F.col("text"), "\t\n\x0b\x0c\r", "     "))) == 0, F.array().cast("array<string>")).otherwise(words).alias("words"),
-        F.array_sort(F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)).alias("lines"),
+        F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("words"),
+        F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        F.regexp_replace("text", r"[^#*$%&|<>0-9A-Z]+", "").alias("marks"),
     )
     n = F.size("words")
     base = base.select(
         "doc_id",
         n.cast("long").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        removed("#*$%&|<>").cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        removed("#*$%&|<>").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        removed("0123456789").cast("long").alias("n_digits"),
-        removed("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_capitals"),
-        # (hash of the window, its place), sorted: equal windows are neighbours
-        F.when(
-            n >= 5,
-            F.array_sort(F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.struct(F.xxhash64(F.slice("words", i, 5)).alias("h"), i.alias("i")))),
-        ).alias("windows"),
+        removed("0123456789").alias("n_digits"),
+        removed("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_capitals"),
+        F.when(n >= 5, F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.xxhash64(F.slice("words", i, 5)))).alias("hashes"),
     )
+    # (hash of the window, its place), sorted, equal windows neighbours; only for texts with a repeated window
+    placed = F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    base = base.withColumn("windows", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), placed)).drop("hashes")
     m = F.size("windows")
     at = lambda k: F.get("windows", k)["h"]
     twice = F.filter(F.sequence(F.lit(0), m - 1), lambda k: at(k).eqNullSafe(at(k - 1)) | at(k).eqNullSafe(at(k + 1)))
