@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, mixing, pii, quality, simhash, suffix_dedup, toxicity, url_filter
-from cairn.session import read_table
+from cairn.llm import decontaminate, mixing, pii, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from cairn.session import materialize, read_table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, read back from flat files of their tokens."""
+    files = materialize(token_counts.pack(read_table(spark, sf_dir, "documents")), "token-files")
+    return token_counts.document_counts(files)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
