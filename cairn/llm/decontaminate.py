@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.textscan import map_texts, text_bytes
+from cairn.llm.textscan import kept, map_texts, text_bytes
 
 WINDOW = 10
 #: Words of benchmark text in one automaton (about 60 trie nodes of 50 bytes each); more items take further automata.
@@ -127,7 +127,7 @@ def find(docs: DataFrame, bench: DataFrame, keep: list[str] | None = None, n: in
             as_pairs = lambda ranges: [{"start": s, "end": e} for s, e in ranges]
             return pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(k) for k in own],
+                    *kept(batch, own),
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([as_pairs(r[1]) for r in rows], pair),
                     pa.array([r[2] for r in rows], pa.list_(pa.string())),

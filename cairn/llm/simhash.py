@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.graph import components
-from cairn.llm.textscan import LOWER, map_texts, text_bytes
+from cairn.llm.textscan import LOWER, kept, map_texts, text_bytes
 from cairn.session import materialize
 
 SHINGLE = 3
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> Da
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column("text"))], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(fp)], names=[*keep, "fp"])
+        return pa.RecordBatch.from_arrays([*kept(batch, keep), pa.array(fp)], names=[*keep, "fp"])
 
     types = dict(docs.dtypes)
     return map_texts(docs, keep, work, ", ".join([*[f"`{k}` {types[k]}" for k in keep], "fp long"]))

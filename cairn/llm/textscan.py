@@ -19,6 +19,11 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def kept(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
+    """Columns of ``batch`` to hand on; text as a string again."""
+    return [batch.column(k).cast(pa.string()) if k == "text" else batch.column(k) for k in names]
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose ``column`` holds about ``limit`` bytes; at least one row each."""
     lengths = [len(x) if x is not None else 0 for x in batch.column(column).to_pylist()] if batch.num_rows else []
@@ -33,11 +38,15 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES
 
 
 def map_texts(docs: DataFrame, keep: list[str], work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
-    """Run ``work`` on pieces of (``keep`` columns, ``text`` as UTF-8 bytes); each piece gives one batch."""
+    """Run ``work`` on pieces of (``keep`` columns, ``text`` as UTF-8 bytes); each piece gives one batch.
+
+    With "text" in ``keep`` the text is handed back as it came.
+    """
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch):
                 yield work(piece)
 
-    return docs.select(*keep, F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
+    others = [k for k in keep if k != "text"]
+    return docs.select(*others, F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)

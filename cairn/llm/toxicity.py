@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.textscan import map_texts, text_bytes
+from cairn.llm.textscan import kept, map_texts, text_bytes
 
 #: The classifier is fitted on about this many labelled texts at most, drawn by a hash of doc_id.
 FIT_ROWS = 20_000
@@ -258,7 +258,7 @@ def _features(docs: DataFrame, keep: list[str], model: Model) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         read = reader(key, terms)
         rows = [read.features(t.decode("utf-8", "replace")) for t in text_bytes(batch.column("text"))]
-        return pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "features"])
+        return pa.RecordBatch.from_arrays([*kept(batch, keep), pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "features"])
 
     types = dict(docs.dtypes)
     return map_texts(docs, keep, work, ", ".join([*[f"`{k}` {types[k]}" for k in keep], "features array<double>"]))
