@@ -50,13 +50,13 @@ def sliding_min(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, count and anchor hash of the runs of window starts.
+def runs(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, count, anchor's place and anchor's hash of the runs of window starts.
 
     A window of ``length`` bytes has as anchor its gram of least hash, the leftmost of equal ones: equal windows have
     equal anchors at equal places. Consecutive window starts with the same anchor are one run.
     """
-    starts, counts, anchors = [], [], []
+    starts, counts, places, anchors = [], [], [], []
     for base in range(0, len(text) - length + 1, _CHUNK):
         b = np.frombuffer(text, np.uint8)[base : base + _CHUNK + length - 1]
         h = gram_hashes(b)
@@ -65,10 +65,11 @@ def runs(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         starts.append(first + base)
         counts.append(np.diff(np.r_[first, len(at)]))
+        places.append(at[first] + base)
         anchors.append(h[at[first]])
     if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(counts), np.concatenate(anchors)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(counts), np.concatenate(places), np.concatenate(anchors)
 
 
 def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,12 +84,22 @@ def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     n = len(b)
     ends = np.repeat(np.cumsum(lengths), lengths)
     owner = np.repeat(np.arange(len(texts)), lengths)
-    left = np.minimum(ends - np.arange(n), 8)
     packed = np.ndarray((n,), ">u8", b.tobytes() + bytes(8), 0, (1,)).astype(np.uint64)
-    packed &= np.where(left == 8, ~np.uint64(0), ~(~np.uint64(0) >> (left.astype(np.uint64) * np.uint64(8)) if n else np.zeros(0, np.uint64)))
-    sa = np.lexsort((np.where(left < 8, owner, -1), left, packed)) if (left < 8).any() else np.argsort(packed, kind="stable")
-    # a place nearer than 8 to its end stands by itself, in order of its text
-    same = (packed[sa][1:] == packed[sa][:-1]) & (left[sa][1:] == 8) & (left[sa][:-1] == 8)
+    tail = np.concatenate([np.arange(max(0, e - m, e - 7), e) for e, m in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True)]) if n else np.zeros(0, np.int64)
+    left = (ends[tail] - tail).astype(np.uint64)
+    packed[tail] &= ~(~np.uint64(0) >> (left * np.uint64(8)))
+    sa = np.argsort(packed)
+    first = packed[sa]
+    same = first[1:] == first[:-1]
+    # a place nearer than 8 to its end stands by itself: before longer ones, shorter ones first, then in order of its text
+    near = np.zeros(n, np.int64)
+    near[tail] = (left.astype(np.int64) - 8) * len(texts) + owner[tail] - len(texts)
+    group = np.cumsum(np.r_[False, ~same][:n])
+    mixed = np.zeros(n, bool)
+    mixed[group[near[sa] < 0]] = True
+    again = np.flatnonzero(mixed[group])
+    sa[again] = sa[again][np.lexsort((near[sa[again]], group[again]))]
+    same &= (near[sa][1:] == 0) & (near[sa][:-1] == 0)
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(n), 0)) if n else np.zeros(0, np.int64)
     h = 8
@@ -96,16 +107,14 @@ def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     while len(open_):
         places = sa[open_]
         ahead = places + h
-        inside = ahead < ends[places]
-        second = np.where(inside, rank[np.minimum(ahead, n - 1)], owner[places] - len(texts))
-        order = np.lexsort((second, rank[places]))
-        places, second, group = places[order], second[order], rank[places][order]
+        second = np.where(ahead < ends[places], rank[np.minimum(ahead, n - 1)] + len(texts), owner[places])
+        key = rank[places] * (n + len(texts)) + second
+        order = np.argsort(key)
+        places, key = places[order], key[order]
         sa[open_] = places
-        new = np.r_[True, (group[1:] != group[:-1]) | (second[1:] != second[:-1])]
-        ranks = np.maximum.accumulate(np.where(new, open_, 0))
-        rank[places] = ranks
-        still = np.r_[~new[1:], False] | ~new
-        open_ = open_[still]
+        new = np.r_[True, key[1:] != key[:-1]]
+        rank[places] = np.maximum.accumulate(np.where(new, open_, 0))
+        open_ = open_[np.r_[~new[1:], False] | ~new]
         h *= 2
     return b, ends, sa
 
@@ -164,18 +173,59 @@ def shard_repeats(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray,
     return flags, sa, prefix
 
 
-def _shards(frames, limit: int):
-    """Rows sorted by (fp, slot), in lists of whole groups of about ``limit`` bytes."""
-    held, size, last = [], 0, None
+def _shared(x: bytes, y: bytes) -> int:
+    """Length of the common prefix of two different or equal byte strings."""
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if x[low:middle] == y[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def trim(rows: list[dict], length: int) -> list[dict]:
+    """What of an anchor's run texts can hold a repeat: each text's longest agreement with any other to the right of
+    the anchor, and to the left of it, bound the windows; a text whose two together are short of a window goes.
+
+    A text's longest agreement on one side is with a neighbour in sorted order.
+    """
+    reach = {}
+    for side, cut in (("right", lambda r: r["piece"][r["at"] :]), ("left", lambda r: r["piece"][: r["at"]][::-1])):
+        order = sorted(range(len(rows)), key=lambda k: cut(rows[k]))
+        best = [0] * len(rows)
+        for i, j in zip(order, order[1:]):
+            n = _shared(cut(rows[i]), cut(rows[j]))
+            best[i], best[j] = max(best[i], n), max(best[j], n)
+        reach[side] = best
+    out = []
+    for r, left, right in zip(rows, reach["left"], reach["right"], strict=True):
+        if left + right >= length:
+            out.append({**r, "piece": r["piece"][r["at"] - left : r["at"] + right], "skip": r["at"] - left})
+    return out
+
+
+def _shards(frames, limit: int, length: int):
+    """Rows sorted by (fp, slot), in lists of whole groups of about ``limit`` bytes; groups in one slot are trimmed."""
+    held, size, group = [], 0, []
+
+    def ended():
+        nonlocal held, size
+        rows = trim(group, length) if group and group[0]["slots"] == 1 else group
+        held += rows
+        size += sum(len(r["piece"]) for r in rows)
+
     for batch in frames:
         for row in batch.to_pylist():
-            group = (row["fp"], row["slot"])
-            if size >= limit and group != last:
-                yield held
-                held, size = [], 0
-            held.append(row)
-            size += len(row["piece"])
-            last = group
+            if group and (row["fp"], row["slot"]) != (group[0]["fp"], group[0]["slot"]):
+                ended()
+                group = []
+                if size >= limit:
+                    yield held
+                    held, size = [], 0
+            group.append(row | {"skip": 0})
+    ended()
     if held:
         yield held
 
@@ -184,11 +234,11 @@ def _shard_work(length: int, limit: int):
     """Repeats within each shard as (rh, start, end); for hot anchors also each window that another shard may hold."""
 
     def run(batches):
-        for rows in _shards(batches, limit):
+        for rows in _shards(batches, limit, length):
             texts = [r["piece"] for r in rows]
             flags, sa, prefix = shard_repeats(texts, length)
             lengths = np.array([len(t) for t in texts])
-            found = [{"rh": rows[o]["rh"], "start": s, "end": e, "fp": None, "bucket": None, "slot": None, "digests": None, "places": None} for o, s, e in _intervals(flags, lengths)]
+            found = [{"rh": rows[o]["rh"], "start": s + rows[o]["skip"], "end": e + rows[o]["skip"], "fp": None, "bucket": None, "slot": None, "digests": None, "places": None} for o, s, e in _intervals(flags, lengths)]
             hot = np.flatnonzero([r["slots"] > 1 for r in rows])
             if len(hot):
                 found += _offers(rows, texts, lengths, flags, sa, prefix, length, hot)
@@ -243,35 +293,36 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     1. Each window start is put in a run by its anchor. A string that stands twice has the same anchor both times, so
        only runs with an anchor found twice are looked at further.
     2. Runs that are equal as a whole need no comparison. Of the others each different text is fetched once and goes,
-       by anchor, to a shard; a shard's suffix array and common prefixes show its repeats.
+       by anchor, to a shard, trimmed to where it can agree with another; a shard's suffix array and common prefixes show its repeats.
     3. An anchor with more than ``hot_texts`` different texts is dealt over several shards, and the shards' sorted
        windows are merged by binary search, bucket by bucket.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.coalesce("text", F.lit("")).alias("text")).select("text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    run_type = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("fp", pa.int64()), ("rh", pa.binary())]))
+    run_type = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("fp", pa.int64()), ("rh", pa.binary())]))
 
     def find_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for t in text_bytes(batch.column("text")):
-            starts, counts, anchors = runs(t, length)
-            out.append([{"start": s, "n": n, "fp": f, "rh": xxhash.xxh3_128_digest(t[s : s + n + length - 1])} for s, n, f in zip(starts.tolist(), counts.tolist(), anchors.view(np.int64).tolist(), strict=True)])
+            starts, counts, places, anchors = runs(t, length)
+            each = zip(starts.tolist(), counts.tolist(), places.tolist(), anchors.view(np.int64).tolist(), strict=True)
+            out.append([{"start": s, "n": n, "at": a - s, "fp": f, "rh": xxhash.xxh3_128_digest(t[s : s + n + length - 1])} for s, n, a, f in each])
         return pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), pa.array(out, run_type)], names=["t1", "t2", "runs"])
 
     long_enough = keyed.where(F.octet_length("text") >= length)
-    every = map_texts(long_enough, ["t1", "t2"], find_runs, "t1 long, t2 long, runs array<struct<start:int,n:int,fp:long,rh:binary>>")
+    every = map_texts(long_enough, ["t1", "t2"], find_runs, "t1 long, t2 long, runs array<struct<start:int,n:int,at:int,fp:long,rh:binary>>")
     every = materialize(every.select("t1", "t2", F.explode("runs").alias("r")).select("t1", "t2", "r.*"), "runs")
     anchors = every.groupBy("fp").agg(F.count("*").alias("k"), (F.min("rh") != F.max("rh")).alias("mixed")).where(F.col("k") > 1).select("fp", "mixed")
     found = materialize(every.join(anchors, "fp"), "repeated-runs")
 
-    mixed = found.where("mixed").groupBy("fp", "rh").agg(F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "start", "n")).alias("at"))
-    mixed = materialize(mixed.select("fp", "rh", "copies", "at.*"), "mixed-runs")
+    mixed = found.where("mixed").groupBy("fp", "rh").agg(F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "start", "n", "at")).alias("one"))
+    mixed = materialize(mixed.select("fp", "rh", "copies", "one.*"), "mixed-runs")
     slots = mixed.groupBy("fp").agg(F.ceil(F.count("*") / hot_texts).cast("int").alias("slots"))
     dealt = mixed.join(slots, "fp").withColumn("slot", F.pmod(F.xxhash64("rh"), F.col("slots")).cast("int"))
-    wanted = dealt.groupBy("t1", "t2").agg(F.collect_list(F.struct("fp", "slot", "slots", "rh", "start", "n")).alias("wanted"))
+    wanted = dealt.groupBy("t1", "t2").agg(F.collect_list(F.struct("fp", "slot", "slots", "rh", "start", "n", "at")).alias("wanted"))
     # texts of equal hashes are equal: one row of each is enough, and the runs it gives are told apart by rh
     pieces = keyed.join(wanted, ["t1", "t2"]).select(F.col("text").cast("binary").alias("b"), F.explode("wanted").alias("w"))
-    pieces = pieces.select("w.fp", "w.slot", "w.slots", "w.rh", F.substring(F.col("b"), F.col("w.start") + 1, F.col("w.n") + length - 1).alias("piece")).dropDuplicates(["fp", "slot", "rh"])
+    pieces = pieces.select("w.fp", "w.slot", "w.slots", "w.rh", "w.at", F.substring(F.col("b"), F.col("w.start") + 1, F.col("w.n") + length - 1).alias("piece")).dropDuplicates(["fp", "slot", "rh"])
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards = pieces.repartition(n, "fp", "slot").sortWithinPartitions("fp", "slot", "rh")
     offers = materialize(shards.mapInArrow(_shard_work(length, shard_bytes), "rh binary, start int, end int, fp long, bucket int, slot int, digests binary, places binary"), "shards")
