@@ -133,3 +133,37 @@ def scl36_quadric_error(t):
 @query()
 def ana18_convex_hull(t):
     return mesh.hulls(t.v_point.select("source_id", C("x_cm").alias("x"), C("y_cm").alias("y")), "source_id")
+
+
+@query()
+def ana11_simplify(t):
+    from cairn.operators.kernels import simplify_tiles
+
+    return simplify_tiles(mesh.corners(t.v_mesh_vertex, t.v_mesh_face).withColumn("tile", C("fid") % 2), "tile", 150).select("tile", "fid", "ax", "ay", "az")
+
+
+@query("SELECT count(*) * 2 AS n, round(sum(a.z + b.z + c.z + b.z + d.z + c.z) / 1.0, 3)::DOUBLE AS z FROM v_raster a JOIN v_raster b ON b.row = a.row + 1 AND b.col = a.col JOIN v_raster c ON c.row = a.row AND c.col = a.col + 1 JOIN v_raster d ON d.row = a.row + 1 AND d.col = a.col + 1 WHERE a.z IS NOT NULL AND b.z IS NOT NULL AND c.z IS NOT NULL AND d.z IS NOT NULL")
+def ana12_heightfield_mesh(t):
+    from cairn.operators.kernels import heightfield
+
+    m = heightfield(t.v_raster.where("z IS NOT NULL"), 5.0, "row", "col")
+    return m.agg(F.count("*").alias("n"), F.round(F.sum(C("az") + C("bz") + C("cz")), 3).alias("z"))
+
+
+@query("SELECT cleabs, 2 AS triangles, ((x1 - x0) * (y1 - y0))::DOUBLE AS area FROM v_footprint")
+def ana20_triangulate(t):
+    import numpy as np
+    import pandas as pd
+
+    from cairn.operators.kernels import triangulate_surface
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                ring = np.array([(r.x0, r.y0, 5), (r.x1, r.y0, 5), (r.x1, r.y1, 5), (r.x0, r.y1, 5)], float)
+                tri = triangulate_surface(ring)
+                out.append((r.cleabs, len(tri), sum(abs(np.cross(ring[b] - ring[a], ring[c] - ring[a])[2]) / 2 for a, b, c in tri)))
+            yield pd.DataFrame(out, columns=["cleabs", "triangles", "area"])
+
+    return t.v_footprint.select("cleabs", "x0", "y0", "x1", "y1").mapInPandas(run, "cleabs long, triangles int, area double")
