@@ -56,7 +56,7 @@ def flt09_crown_filter(t):
 
 @query("""WITH b AS (SELECT min(x_cm) AS x0, max(x_cm) AS x1, min(y_cm) AS y0, max(y_cm) AS y1, count(*) AS n FROM v_point),
  w AS (SELECT (x0 + x1) / 2.0 AS mx, (y0 + y1) / 2.0 AS my, (x1 - x0) / 2.0 * sqrt(least(1.0, 4000.0 / n)) AS hx, (y1 - y0) / 2.0 * sqrt(least(1.0, 4000.0 / n)) AS hy FROM b)
- SELECT count(*) AS n, sum(z_cm) AS z FROM v_point, w WHERE abs(x_cm - mx) <= hx AND abs(y_cm - my) <= hy""")
+ SELECT count(*) AS n, CAST(sum(z_cm) AS BIGINT) AS z FROM v_point, w WHERE abs(x_cm - mx) <= hx AND abs(y_cm - my) <= hy""")
 def flt10_centre_window_sample(t):
     b = t.v_point.agg(F.min("x_cm").alias("x0"), F.max("x_cm").alias("x1"), F.min("y_cm").alias("y0"), F.max("y_cm").alias("y1"), F.count("*").alias("n")).first()
     share = min(1.0, 4000.0 / b["n"]) ** 0.5
@@ -279,7 +279,7 @@ def set02_difference(t):
     return t.v_hd.select("x", "y").subtract(t.v_tile.where("level = 15").select("x", "y"))
 
 
-@query("SELECT count(*) AS n, sum(v) AS total FROM (SELECT z_cm AS v FROM v_point UNION ALL SELECT z_hi FROM v_hd)")
+@query("SELECT count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM (SELECT z_cm AS v FROM v_point UNION ALL SELECT z_hi FROM v_hd)")
 def set03_concat(t):
     return t.v_point.select(C("z_cm").alias("v")).unionByName(t.v_hd.select(C("z_hi").alias("v"))).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
@@ -306,7 +306,7 @@ def set06_block_rings(t):
     return b.select("bx", "by", F.when((gap("bx", 1400) == 0) & (gap("by", 1400) == 0), "load").when(far, "drop").otherwise("keep").alias("act"))
 
 
-@query("SELECT x, y, max_level, z_hi FROM v_hd UNION ALL SELECT DISTINCT x, y, 15, 0 FROM v_tile t WHERE level = 15 AND NOT EXISTS (SELECT 1 FROM v_hd h WHERE h.x = t.x AND h.y = t.y)")
+@query("SELECT x, y, CAST(max_level AS BIGINT) AS max_level, z_hi FROM v_hd UNION ALL SELECT DISTINCT x, y, 15, 0 FROM v_tile t WHERE level = 15 AND NOT EXISTS (SELECT 1 FROM v_hd h WHERE h.x = t.x AND h.y = t.y)")
 def set07_append_missing(t):
     missing = t.v_tile.where("level = 15").select("x", "y").distinct().join(t.v_hd.select("x", "y"), ["x", "y"], "left_anti")
     filled = missing.select("x", "y", F.lit(15).cast("long").alias("max_level"), F.lit(0).cast("long").alias("z_hi"))

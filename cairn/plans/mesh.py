@@ -105,7 +105,7 @@ def ana03_clip_whole(t):
 
 
 @query(f"""WITH {_CORNER}, f AS (SELECT fid, least(ax, bx, cx) AS x0, greatest(ax, bx, cx) AS x1, (ax <= 115)::INT + (bx <= 115)::INT + (cx <= 115)::INT AS k, abs((bx - ax) * (cy - ay) - (b2 - ay) * (cx - ax)) / 2.0 AS s FROM n)
- SELECT sum(k) FILTER (WHERE k < 3) + count(*) FILTER (WHERE k = 3) AS parts, round(sum(CASE k WHEN 3 THEN s WHEN 2 THEN s * 0.75 WHEN 1 THEN s * 0.25 ELSE 0 END), 4)::DOUBLE AS area FROM f""")
+ SELECT CAST(sum(k) FILTER (WHERE k < 3) + count(*) FILTER (WHERE k = 3) AS BIGINT) AS parts, round(sum(CASE k WHEN 3 THEN s WHEN 2 THEN s * 0.75 WHEN 1 THEN s * 0.25 ELSE 0 END), 4)::DOUBLE AS area FROM f""")
 def ana03_clip_across(t):
     parts = mesh.clip(t.v_mesh_vertex, t.v_mesh_face, "x", 115)
     area = F.abs((C("qx") - C("px")) * (C("ry") - C("py")) - (C("qy") - C("py")) * (C("rx") - C("px")))

@@ -5,14 +5,19 @@ from pyspark.sql import functions as F
 from cairn.functions import frames, geometry, tiles
 from cairn.plans.registry import query
 
-LON, LAT = F.col("lon_u") / 1e6, F.col("lat_u") / 1e6
+
+
+def lonlat():
+    return F.col("lon_u") / 1e6, F.col("lat_u") / 1e6
+
+
 _TX11 = "CAST(floor((lon_u / 1e6 + 180.0) / 360.0 * 2048.0) AS BIGINT)"
 _TY11 = "CAST(floor((0.5 - ln((1 + sin(radians(lat_u / 1e6))) / (1 - sin(radians(lat_u / 1e6)))) / (4 * pi())) * 2048.0) AS BIGINT)"
 K = "(1 / cos(radians(45.5)))"
 
 
 def points_with_tile(t, level):
-    x, y = tiles.tile_xy(LON, LAT, level)
+    x, y = tiles.tile_xy(*lonlat(), level)
     return t.v_point.withColumn("tx", F.floor(x).cast("long")).withColumn("ty", F.floor(y).cast("long"))
 
 
@@ -43,19 +48,19 @@ def scl03_tile_bounds(t):
 @query("""SELECT l_orderkey, l_linenumber, round((lon_u / 1e6 + 180.0) / 360.0 * 1024 * 256, 4) AS px,
  round((0.5 - ln((1 + sin(radians(lat_u / 1e6))) / (1 - sin(radians(lat_u / 1e6)))) / (4 * pi())) * 1024 * 256, 4) AS py FROM v_point""")
 def scl04_world_pixel(t):
-    px, py = tiles.world_pixel(LON, LAT, 10)
+    px, py = tiles.world_pixel(*lonlat(), 10)
     return t.v_point.select("l_orderkey", "l_linenumber", F.round(px, 4).alias("px"), F.round(py, 4).alias("py"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, round(6378137.0 * radians(lon_u / 1e6) / {K}, 3) AS wx, round(6378137.0 * ln(tan(pi() / 4 + radians(lat_u / 1e6) / 2)) / {K}, 3) AS wy FROM v_point")
 def scl05_geodetic_to_work(t):
-    x, y = frames.geodetic_to_work(LON, LAT)
+    x, y = frames.geodetic_to_work(*lonlat())
     return t.v_point.select("l_orderkey", "l_linenumber", F.round(x, 3).alias("wx"), F.round(y, 3).alias("wy"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(lon_u / 1e6, 6) AS lon, round(lat_u / 1e6, 6) AS lat FROM v_point")
 def scl05_work_round_trip(t):
-    lon, lat = frames.convert(*frames.convert(LON, LAT, "geodetic", "work"), "work", "geodetic")
+    lon, lat = frames.convert(*frames.convert(*lonlat(), "geodetic", "work"), "work", "geodetic")
     return t.v_point.select("l_orderkey", "l_linenumber", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
@@ -66,23 +71,23 @@ _L93 = f"""SELECT l_orderkey, l_linenumber, round({frames.L93_X0} + rho * sin(th
 
 @query(_L93)
 def scl06_geodetic_to_l93(t):
-    x, y = frames.geodetic_to_l93(LON, LAT)
+    x, y = frames.geodetic_to_l93(*lonlat())
     return t.v_point.select("l_orderkey", "l_linenumber", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(lon_u / 1e6, 6) AS lon, round(lat_u / 1e6, 6) AS lat FROM v_point")
 def scl06_l93_round_trip(t):
-    lon, lat = frames.l93_to_geodetic(*frames.geodetic_to_l93(LON, LAT))
+    lon, lat = frames.l93_to_geodetic(*frames.geodetic_to_l93(*lonlat()))
     return t.v_point.select("l_orderkey", "l_linenumber", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, round(6378137.0 * radians(lon_u / 1e6) / {K}, 2) AS x, round(6378137.0 * ln(tan(pi() / 4 + radians(lat_u / 1e6) / 2)) / {K}, 2) AS y, z_cm FROM v_point")
 def scl07_convert_l93_to_work(t):
-    x, y = frames.convert(*frames.geodetic_to_l93(LON, LAT), "l93", "work")
+    x, y = frames.convert(*frames.geodetic_to_l93(*lonlat()), "l93", "work")
     return t.v_point.select("l_orderkey", "l_linenumber", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"), "z_cm")
 
 
-@query("SELECT document_id, x_m - 50000.0 AS lx, y_m - 40000.0 AS ly FROM v_poi")
+@query("SELECT document_id, (x_m - 50000.0)::DOUBLE AS lx, (y_m - 40000.0)::DOUBLE AS ly FROM v_poi")
 def scl08_merc_to_local(t):
     x, y = frames.local_from_work(F.col("x_m"), F.col("y_m"), (50000.0, 40000.0))
     return t.v_poi.select("document_id", x.alias("lx"), y.alias("ly"))
@@ -91,7 +96,7 @@ def scl08_merc_to_local(t):
 @query(f"""SELECT l_orderkey, l_linenumber, CAST(floor((wx + ext) / (2 * ext / 2048)) AS BIGINT) AS tx, CAST(floor((ext - wy) / (2 * ext / 2048)) AS BIGINT) AS ty FROM (
  SELECT *, 6378137.0 * radians(lon_u / 1e6) / {K} AS wx, 6378137.0 * ln(tan(pi() / 4 + radians(lat_u / 1e6) / 2)) / {K} AS wy, 20037508.342789244 / {K} AS ext FROM v_point)""")
 def scl09_work_tile_of(t):
-    tx, ty = frames.work_tile_of(*frames.geodetic_to_work(LON, LAT), 11)
+    tx, ty = frames.work_tile_of(*frames.geodetic_to_work(*lonlat()), 11)
     return t.v_point.select("l_orderkey", "l_linenumber", tx.alias("tx"), ty.alias("ty"))
 
 
@@ -226,25 +231,29 @@ def msc15_inclusive_tile_range(t):
     return _rects(t).select("document_id", *[c.alias(k) for k, c in zip(("x0", "x1", "y0", "y1"), r)])
 
 
-def required_km_cells(jobs, level, samples=20, buffer=50.0):
-    """km cells that a tile's outline, sampled along its edges and buffered, needs in Lambert-93."""
+def required_km_cells(jobs, level, steps=4, margin=50.0):
+    """km cells, named by their north-west corner, that a tile's outline needs in Lambert-93.
+
+    The tile is grown by ``margin`` in the work frame; each edge is sampled at ``steps`` + 1 places.
+    """
     x0, y0, x1, y1 = frames.work_tile_bounds(F.col("x"), F.col("y"), level)
-    at = F.explode(F.sequence(F.lit(0), F.lit(samples))).alias("k")
-    s = F.col("k") / samples
+    x0, y0, x1, y1 = x0 - margin, y0 - margin, x1 + margin, y1 + margin
+    at = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k")
+    s = F.col("k") / steps
     edge = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     outline = jobs.select("x", "y", at).withColumn("p", F.explode(F.array(edge(x0 + (x1 - x0) * s, y0), edge(x0 + (x1 - x0) * s, y1), edge(x0, y0 + (y1 - y0) * s), edge(x1, y0 + (y1 - y0) * s))))
     lx, ly = frames.convert(F.col("p.x"), F.col("p.y"), "work", "l93")
     box = outline.select("x", "y", lx.alias("lx"), ly.alias("ly")).groupBy("x", "y").agg(F.min("lx").alias("a"), F.max("lx").alias("b"), F.min("ly").alias("c"), F.max("ly").alias("d"))
-    low, high = (lambda v: F.floor((v - buffer) / 1000).cast("long")), (lambda v: (F.ceil((v + buffer) / 1000) - 1).cast("long"))
-    return tiles.explode_tiles(box, low(F.col("a")), high(F.col("b")), low(F.col("c")), high(F.col("d")), "x_km", "y_km").select("x", "y", "x_km", "y_km")
+    west, north = (lambda v: F.floor(F.col(v) / 1000).cast("long")), (lambda v: F.ceil(F.col(v) / 1000).cast("long"))
+    return tiles.explode_tiles(box, west("a"), west("b"), north("c"), north("d"), "x_km", "y_km").select("x", "y", "x_km", "y_km")
 
 
 @query(f"""WITH j AS (SELECT DISTINCT x, y FROM v_hd), k AS (SELECT x, y, 20037508.342789244 / {K} AS ext, 2 * 20037508.342789244 / {K} / 32768 AS s FROM j),
- e AS (SELECT x, y, x * s - ext AS x0, ext - y * s - s AS y0, s, i / 20.0::DOUBLE AS f FROM k, range(21) r(i)),
+ e AS (SELECT x, y, x * s - ext - 50 AS x0, ext - y * s - s - 50 AS y0, s + 100 AS s, i / 4.0::DOUBLE AS f FROM k, range(5) r(i)),
  p AS (SELECT x, y, x0 + s * f AS px, y0 AS py FROM e UNION ALL SELECT x, y, x0 + s * f, y0 + s FROM e UNION ALL SELECT x, y, x0, y0 + s * f FROM e UNION ALL SELECT x, y, x0 + s, y0 + s * f FROM e),
  g AS (SELECT x, y, radians(degrees(px * {K} / 6378137.0) - 3.0) AS lam, 2 * atan(exp(py * {K} / 6378137.0)) - pi() / 2 AS phi, {frames.LCC_E!r} AS e FROM p),
  q AS (SELECT x, y, {frames.LCC_C!r} * power(tan(pi() / 4 - phi / 2) / power((1 - e * sin(phi)) / (1 + e * sin(phi)), e / 2), {frames.LCC_N!r}) AS rho, {frames.LCC_N!r} * lam AS th FROM g),
  b AS (SELECT x, y, min({frames.L93_X0} + rho * sin(th)) AS a, max({frames.L93_X0} + rho * sin(th)) AS b, min({frames.L93_Y0} + {frames.LCC_RHO0!r} - rho * cos(th)) AS c, max({frames.L93_Y0} + {frames.LCC_RHO0!r} - rho * cos(th)) AS d FROM q GROUP BY x, y)
- SELECT x, y, x_km, unnest(range(CAST(floor((c - 50) / 1000) AS BIGINT), CAST(ceil((d + 50) / 1000) AS BIGINT))) AS y_km FROM (SELECT *, unnest(range(CAST(floor((a - 50) / 1000) AS BIGINT), CAST(ceil((b + 50) / 1000) AS BIGINT))) AS x_km FROM b)""")
+ SELECT x, y, x_km, unnest(range(CAST(ceil(c / 1000) AS BIGINT), CAST(ceil(d / 1000) AS BIGINT) + 1)) AS y_km FROM (SELECT *, unnest(range(CAST(floor(a / 1000) AS BIGINT), CAST(floor(b / 1000) AS BIGINT) + 1)) AS x_km FROM b)""")
 def jon03_required_km_cells(t):
     return required_km_cells(t.v_hd.select("x", "y").distinct(), 15)
