@@ -11,14 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.textscan import map_texts, text_bytes
+from cairn.llm.textscan import map_texts, rows, text_bytes
 from cairn.session import materialize
 
 LENGTH = 400
 #: Bytes of the grams that anchors are chosen from.
 GRAM = 16
 #: Bytes of run texts under one suffix array.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Different run texts of one anchor from which its texts are dealt over several shards.
 HOT_TEXTS = 4_000
 _CHUNK = 1 << 19
@@ -212,12 +212,12 @@ def _shards(frames, limit: int, length: int):
 
     def ended():
         nonlocal held, size
-        rows = trim(group, length) if group and group[0]["slots"] == 1 else group
-        held += rows
-        size += sum(len(r["piece"]) for r in rows)
+        left = trim(group, length) if group and group[0]["slots"] == 1 else group
+        held += left
+        size += sum(len(r["piece"]) for r in left)
 
     for batch in frames:
-        for row in batch.to_pylist():
+        for row in rows(batch):
             if group and (row["fp"], row["slot"]) != (group[0]["fp"], group[0]["slot"]):
                 ended()
                 group = []
@@ -234,14 +234,14 @@ def _shard_work(length: int, limit: int):
     """Repeats within each shard as (rh, start, end); for hot anchors also each window that another shard may hold."""
 
     def run(batches):
-        for rows in _shards(batches, limit, length):
-            texts = [r["piece"] for r in rows]
+        for held in _shards(batches, limit, length):
+            texts = [r["piece"] for r in held]
             flags, sa, prefix = shard_repeats(texts, length)
             lengths = np.array([len(t) for t in texts])
-            found = [{"rh": rows[o]["rh"], "start": s + rows[o]["skip"], "end": e + rows[o]["skip"], "fp": None, "bucket": None, "slot": None, "digests": None, "places": None} for o, s, e in _intervals(flags, lengths)]
-            hot = np.flatnonzero([r["slots"] > 1 for r in rows])
+            found = [{"rh": held[o]["rh"], "start": s + held[o]["skip"], "end": e + held[o]["skip"], "fp": None, "bucket": None, "slot": None, "digests": None, "places": None} for o, s, e in _intervals(flags, lengths)]
+            hot = np.flatnonzero([r["slots"] > 1 for r in held])
             if len(hot):
-                found += _offers(rows, texts, lengths, flags, sa, prefix, length, hot)
+                found += _offers(held, texts, lengths, flags, sa, prefix, length, hot)
             yield pa.RecordBatch.from_pylist(found, schema=_OFFER)
 
     return run
@@ -250,7 +250,7 @@ def _shard_work(length: int, limit: int):
 _OFFER = pa.schema([("rh", pa.binary()), ("start", pa.int32()), ("end", pa.int32()), ("fp", pa.int64()), ("bucket", pa.int32()), ("slot", pa.int32()), ("digests", pa.binary()), ("places", pa.binary())])
 
 
-def _offers(rows, texts, lengths, flags, sa, prefix, length, hot) -> list[dict]:
+def _offers(held, texts, lengths, flags, sa, prefix, length, hot) -> list[dict]:
     """One row for each hot anchor and bucket: sorted digests of its different windows, and where each stands.
 
     Windows are taken in order of the suffix array, one of each set of equals.
@@ -261,7 +261,7 @@ def _offers(rows, texts, lengths, flags, sa, prefix, length, hot) -> list[dict]:
     fits = (offsets[owner + 1] - firsts >= length) & np.isin(owner, hot)
     by_bucket: dict[tuple[int, int, int], list] = {}
     for place, o in zip(firsts[fits].tolist(), owner[fits].tolist(), strict=True):
-        row, at = rows[o], place - int(offsets[o])
+        row, at = held[o], place - int(offsets[o])
         digest = xxhash.xxh3_64_intdigest(texts[o][at : at + length])
         by_bucket.setdefault((row["fp"], digest % row["slots"], row["slot"]), []).append((digest, row["rh"], at))
     out = []
@@ -290,7 +290,7 @@ def merge_shards(frame: pd.DataFrame) -> pd.DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """t1, t2 (a text's two hashes) and spans, the byte ranges of the text that repeated strings cover.
 
-    1. Each window start is put in a run by its anchor. A string that stands twice has the same anchor both times, so
+    1. Each window start is put in a run by its anchor; a run that a text holds several times is one row. A string that stands twice has the same anchor both times, so
        only runs with an anchor found twice are looked at further.
     2. Runs that are equal as a whole need no comparison. Of the others each different text is fetched once and goes,
        by anchor, to a shard, trimmed to where it can agree with another; a shard's suffix array and common prefixes show its repeats.
@@ -299,23 +299,34 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     """
     spark = docs.sparkSession
     keyed = docs.select(F.coalesce("text", F.lit("")).alias("text")).select("text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    run_type = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("fp", pa.int64()), ("rh", pa.binary())]))
+    run_type = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("fp", pa.int64()), ("rh", pa.binary()), ("k", pa.int32())]))
 
     def find_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for t in text_bytes(batch.column("text")):
             starts, counts, places, anchors = runs(t, length)
-            each = zip(starts.tolist(), counts.tolist(), places.tolist(), anchors.view(np.int64).tolist(), strict=True)
-            out.append([{"start": s, "n": n, "at": a - s, "fp": f, "rh": xxhash.xxh3_128_digest(t[s : s + n + length - 1])} for s, n, a, f in each])
+            each: dict[bytes, dict] = {}
+            own: list[list[int]] = []  # where runs stand that the text itself repeats, merged
+            for s, n, a, f in zip(starts.tolist(), counts.tolist(), places.tolist(), anchors.view(np.int64).tolist(), strict=True):
+                rh = xxhash.xxh3_128_digest(t[s : s + n + length - 1])
+                if rh not in each:
+                    each[rh] = {"start": s, "n": n, "at": a - s, "fp": f, "rh": rh, "k": 1}
+                    continue
+                each[rh]["k"] += 1
+                if own and s <= own[-1][1]:
+                    own[-1][1] = s + n
+                else:
+                    own.append([s, s + n])
+            out.append([*each.values(), *({"start": s, "n": e - s, "k": 0} for s, e in own)])
         return pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), pa.array(out, run_type)], names=["t1", "t2", "runs"])
 
     long_enough = keyed.where(F.octet_length("text") >= length)
-    every = map_texts(long_enough, ["t1", "t2"], find_runs, "t1 long, t2 long, runs array<struct<start:int,n:int,at:int,fp:long,rh:binary>>")
+    every = map_texts(long_enough, ["t1", "t2"], find_runs, "t1 long, t2 long, runs array<struct<start:int,n:int,at:int,fp:long,rh:binary,k:int>>")
     every = materialize(every.select("t1", "t2", F.explode("runs").alias("r")).select("t1", "t2", "r.*"), "runs")
-    anchors = every.groupBy("fp").agg(F.count("*").alias("k"), (F.min("rh") != F.max("rh")).alias("mixed")).where(F.col("k") > 1).select("fp", "mixed")
+    anchors = every.where("k > 0").groupBy("fp").agg(F.sum("k").alias("found"), (F.min("rh") != F.max("rh")).alias("mixed")).where("found > 1").select("fp", "mixed")
     found = materialize(every.join(anchors, "fp"), "repeated-runs")
 
-    mixed = found.where("mixed").groupBy("fp", "rh").agg(F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "start", "n", "at")).alias("one"))
+    mixed = found.where("mixed").groupBy("fp", "rh").agg(F.sum("k").alias("copies"), F.min(F.struct("t1", "t2", "start", "n", "at")).alias("one"))
     mixed = materialize(mixed.select("fp", "rh", "copies", "one.*"), "mixed-runs")
     slots = mixed.groupBy("fp").agg(F.ceil(F.count("*") / hot_texts).cast("int").alias("slots"))
     dealt = mixed.join(slots, "fp").withColumn("slot", F.pmod(F.xxhash64("rh"), F.col("slots")).cast("int"))
@@ -332,7 +343,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
 
     whole = found.where("NOT mixed").select("t1", "t2", "start", (F.col("start") + F.col("n")).alias("end"))
     copied = found.join(mixed.where("copies > 1").select("fp", "rh"), ["fp", "rh"]).select("t1", "t2", "start", (F.col("start") + F.col("n")).alias("end"))
-    spans = whole.union(copied).union(partly.select("t1", "t2", F.col("run") + F.col("start"), F.col("run") + F.col("end"))).distinct()
+    inner = every.where("k = 0").select("t1", "t2", "start", (F.col("start") + F.col("n")).alias("end"))
+    spans = whole.union(copied).union(inner).union(partly.select("t1", "t2", F.col("run") + F.col("start"), F.col("run") + F.col("end"))).distinct()
     return spans.groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("end") + length - 1).alias("end")))).alias("spans"))
 
 

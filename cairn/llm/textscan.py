@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +25,15 @@ def kept(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
     return [batch.column(k).cast(pa.string()) if k == "text" else batch.column(k) for k in names]
 
 
+def rows(batch: pa.RecordBatch, at_once: int = 2048) -> Iterator[dict]:
+    """The batch's rows, made into Python objects a few at a time."""
+    for k in range(0, batch.num_rows, at_once):
+        yield from batch.slice(k, at_once).to_pylist()
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose ``column`` holds about ``limit`` bytes; at least one row each."""
-    lengths = [len(x) if x is not None else 0 for x in batch.column(column).to_pylist()] if batch.num_rows else []
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(lengths):
         if i > start and total + n > limit:
