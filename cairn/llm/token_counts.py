@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.llm.textscan import pieces
+
 
 #: Bytes of a block, a multiple of every token width. Blocks end wherever they end, in the middle of documents too.
 BLOCK_BYTES = 1 << 20
@@ -59,7 +61,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, block_bytes: int = BLOCK
                 ids, ends, block = ids[n:], [e - len(part) for e in ends[n:]], block + 1
             rest, size = ([data] if data else []), len(data)
 
-        for batch in batches:
+        for batch in (piece for b in batches for piece in pieces(b)):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 tokens = np.array(encode(text or ""), "<u2").tobytes() + end.tobytes()
                 rest.append(tokens)
