@@ -88,7 +88,7 @@ def fit_accuracies(counts: list[tuple[tuple[int, ...], int]], rounds: int = ROUN
     ``counts`` holds each distinct row of votes once, so the work doesn't depend on the number of documents. BELIEF
     keeps a rule that hardly votes near its start and the classes from changing places.
     """
-    n = len(counts[0][0]) if counts else 0
+    n = len(counts[0][0]) if counts else len(RULES)
     size = sum(k for _, k in counts)
     weight = BELIEF_SHARE * size + 10
     rates, good = [BELIEF] * n, prior
