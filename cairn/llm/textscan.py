@@ -6,13 +6,15 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Maps A-Z to a-z, and nothing else.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Arrow batches between the JVM and Python hold about this many bytes at most; a task holds a few at once.
+BATCH_BYTES = 16 << 20
 #: A piece of this many bytes of text is worked on at a time.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -20,6 +22,16 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on Arrow batches to BATCH_BYTES where it is higher."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").lower()
+    unit = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1:] if not now.rstrip("b")[-1:].isdigit() else "b", 1)
+    number = int("".join(c for c in now if c.isdigit() or c == "-") or -1)
+    if number < 0 or number * unit > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def kept(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
     """Columns of ``batch`` to hand on; text as a string again."""
     return [batch.column(k).cast(pa.string()) if k == "text" else batch.column(k) for k in names]
@@ -55,5 +67,6 @@ def map_texts(docs: DataFrame, keep: list[str], work: Callable[[pa.RecordBatch],
             for piece in pieces(batch):
                 yield work(piece)
 
+    small_batches(docs.sparkSession)
     others = [k for k in keep if k != "text"]
     return docs.select(*others, F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
