@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.plans.fixtures import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("tiling", "filters", "pointcloud", "joins", "catalog", "raster", "mesh", "poi", "events", "files")
+MODULES = ("tiling", "filters", "pointcloud", "joins", "catalog", "raster", "mesh", "poi", "events", "files", "more")
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_TABLES: list[str] = []
+
+
 def get_session(app: str = "cairn", master: str | None = None, **conf: str) -> SparkSession:
     """Return a session with UTC time, AQE and ANSI mode; ``conf`` overrides single settings."""
     cores = os.environ.get("BENCH_CPUS", "8")
@@ -43,8 +46,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete what materialize() wrote in this process; for between jobs, when no result still reads it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _TABLES:
+        path = hadoop.Path(_TABLES.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
