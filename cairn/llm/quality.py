@@ -70,7 +70,7 @@ def votes(c: dict[str, Column]) -> list[Column]:
         vote(c["n_symbols"] < 0.01 * chars, c["n_symbols"] > 0.05 * chars),
         vote(c["n_repeat_words"] < 0.1 * words, c["n_repeat_words"] > 0.2 * words),
         F.when(c["n_lines"] < 4, 0).otherwise(vote(c["n_dup_lines"] < 0.1 * c["n_lines"], c["n_dup_lines"] > 0.3 * c["n_lines"])).cast("int"),
-        vote(c["n_digits"] < 0.1 * chars, c["n_digits"] > 0.3 * chars),
+        vote(c["n_digits"] < 0.25 * chars, c["n_digits"] > 0.5 * chars),
         vote(c["n_capitals"] < 0.2 * chars, c["n_capitals"] > 0.5 * chars),
     ]
 
