@@ -125,7 +125,7 @@ def _model(key: str, sent) -> dict[str, np.ndarray]:
 
 
 def _scan(docs: DataFrame, keep: list[str], masked: bool) -> DataFrame:
-    sent, key = docs.sparkSession.sparkContext.broadcast(crf.trained()), uuid.uuid4().hex
+    sent, key = docs.sparkSession.sparkContext.broadcast(crf.fit(docs.sparkSession)), uuid.uuid4().hex
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = text_bytes(batch.column("text"))
