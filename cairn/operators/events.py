@@ -14,7 +14,10 @@ def debounce(events: DataFrame, key: str, order: list[str], time: Column, gap: f
 
 
 def _fold(events: DataFrame, key: str, order: list[str], time: Column, accept) -> DataFrame:
-    """Accepted events of each key, where ``accept`` is told the state and each event in order."""
+    """Accepted events of each key, where ``accept`` is told the state and each event in order.
+
+    What is accepted hangs on all that was before, so a key's events are one group, bounded by a user's events.
+    """
     schema = events.schema
 
     def run(f: pd.DataFrame) -> pd.DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.session import materialize
+
 
 def _bins(low: Column, high: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long")))
@@ -47,7 +49,7 @@ def nearest_join(queries: DataFrame, points: DataFrame, query_id: str, point_id:
 
     Rings of bins around the query are searched; after each round queries with ``k`` points within the searched
     distance are done, the rest go on with twice the reach, until the reach spans all points. Joins are by bin, so a
-    query never meets all points unless its surroundings are that empty.
+    query never meets all points unless its surroundings are that empty. Each round is a table in the shared folder.
     """
     extent = points.agg(F.min(px), F.max(px), F.min(py), F.max(py)).first()
     ask = queries.agg(F.min(qx), F.max(qx), F.min(qy), F.max(qy)).first()
@@ -69,9 +71,10 @@ def nearest_join(queries: DataFrame, points: DataFrame, query_id: str, point_id:
         if last:
             done.append(ranked.join(left.select(query_id), query_id, "left_semi"))
             break
+        ranked = materialize(ranked, "nearest")
         sure = ranked.groupBy(query_id).agg(F.count("*").alias("n"), F.max("d2").alias("far")).where((F.col("n") == k) & (F.col("far") <= reach * reach)).select(query_id)
         done.append(ranked.join(sure, query_id, "left_semi"))
-        left = left.join(sure, query_id, "left_anti")
+        left = materialize(left.join(sure, query_id, "left_anti"), "nearest-left")
         if left.isEmpty():
             break
         reach *= 4
