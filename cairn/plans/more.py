@@ -254,3 +254,81 @@ def src04_bit_fields(t):
 def flt07_pairwise_overlap(t):
     ax, ay = C("cleabs") * 31 % 4000, C("cleabs") * 17 % 4000
     return t.v_footprint.select("cleabs", geometry.boxes_overlap((ax, ay, ax + 900, ay + 700), tuple(map(C, ("x0", "y0", "x1", "y1")))).alias("hit"))
+
+
+@query("SELECT p_partkey FROM v_hd WHERE 10 * (p_partkey % 251) >= 11 * (p_partkey % 191) AND 10 * (p_partkey % 251) >= 11 * (p_partkey % 83)")
+def scl44_green_dominance(t):
+    r, g, b = C("p_partkey") % 191, C("p_partkey") % 251, C("p_partkey") % 83
+    return t.v_hd.where((10 * g >= 11 * r) & (10 * g >= 11 * b)).select("p_partkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, x_cm, CASE WHEN m > 255 THEN c // 256 ELSE c END AS colour, x_cm - (SELECT min(x_cm) FROM v_point) AS dx FROM (SELECT *, l_partkey * 97 % 65536 AS c, max(l_partkey * 97 % 65536) OVER () AS m FROM v_point)")
+def src30_colour_depth(t):
+    """Colours of 16 bits brought to 8 where any exceeds 255; places relative to the cloud's corner."""
+    c = C("l_partkey") * 97 % 65536
+    b = t.v_point.agg(F.max(c).alias("top"), F.min("x_cm").alias("low")).first()
+    colour = F.floor(c / 256).cast("long") if b["top"] > 255 else c
+    return t.v_point.select("l_orderkey", "l_linenumber", "x_cm", colour.alias("colour"), (C("x_cm") - b["low"]).alias("dx"))
+
+
+@query("SELECT row, col, coalesce(z * 3 % 256, 0) AS r, coalesce(z * 5 % 256, 0) AS g, coalesce(z * 7 % 256, 0) AS b FROM v_raster")
+def src34_image_long_form(t):
+    band = lambda k: F.coalesce(C("z") * k % 256, F.lit(0)).cast("long")
+    return t.v_raster.select("row", "col", band(3).alias("r"), band(5).alias("g"), band(7).alias("b"))
+
+
+_CODE = " + ".join(f"((x // 10 >> {k}) & 1) * {4**k} + ((y // 10 >> {k}) & 1) * {2 * 4**k}" for k in range(5))
+
+
+@query(f"SELECT vid, row_number() OVER (ORDER BY {_CODE}, vid) - 1 AS pos FROM v_mesh_vertex")
+def ana15_vertex_order(t):
+    """Vertices along a Morton curve, the relational counterpart of a cache-friendly order."""
+    code = tiles.morton(F.floor(C("x") / 10), F.floor(C("y") / 10), 8)
+    return t.v_mesh_vertex.select("vid", code.alias("code")).select("vid", (F.row_number().over(Window.orderBy("code", "vid")) - 1).cast("long").alias("pos"))
+
+
+@query("SELECT min(z)::DOUBLE AS low, max(z)::DOUBLE AS high FROM (SELECT unnest([a, b, c]) AS vid FROM v_mesh_face) JOIN v_mesh_vertex USING (vid)")
+def msc14_bounds_of_tile(t):
+    from cairn.operators.mesh import corners
+    from cairn.plans.files import _folder
+    from cairn.sources import binary, meshes
+
+    root = _folder(t, "glb")
+    binary.write_files(meshes.encode_meshes(corners(t.v_mesh_vertex, t.v_mesh_face).withColumn("k", F.lit(1)), "k", "glb"), root)
+    return meshes.read_glb_heights(t.spark, root).select("low", "high")
+
+
+@query("SELECT vid + 1 AS v, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM v_mesh_vertex")
+def msc20_obj_vertices(t):
+    """Vertices and faces written as OBJ lines and read back."""
+    import uuid
+
+    from cairn.session import shared_dir
+    from cairn.sources.meshes import read_obj, write_obj
+
+    root = f"{shared_dir(t.spark)}/obj-{uuid.uuid4().hex}"
+    write_obj(t.v_mesh_vertex.withColumn("vid", C("vid") + 1), t.v_mesh_face, root)
+    return read_obj(t.spark, root)[0]
+
+
+@query("SELECT vid, CAST(round(x / 1000.0 * 16383 / 0.23) AS BIGINT) AS qx, CAST(round(y / 1000.0 * 16383 / 0.23) AS BIGINT) AS qy FROM v_mesh_vertex")
+def snk12_quantised_km(t):
+    q = lambda c: F.round(C(c) / 1000.0 * 16383 / 0.23).cast("long")
+    return t.v_mesh_vertex.select("vid", q("x").alias("qx"), q("y").alias("qy"))
+
+
+@query("SELECT cx, cy, count(*) AS n FROM v_tile WHERE bytes > 0 GROUP BY ALL")
+def str07_periodic_sync(t):
+    """A stream of new tiles appended to a partitioned target, here until all that is there is done."""
+    import uuid
+
+    from cairn.session import shared_dir
+    from cairn.streaming.events import sync
+
+    root = f"{shared_dir(t.spark)}/sync-{uuid.uuid4().hex}"
+    new = t.v_tile.where("bytes > 0").select(F.concat(F.lit("c"), F.concat_ws("_", "cx", "cy")).alias("cell"), "level", "x", "y")
+    new.write.parquet(f"{root}/in")
+    stream = t.spark.readStream.schema(new.schema).parquet(f"{root}/in")
+    sync(stream, f"{root}/out", f"{root}/state", once=True).awaitTermination()
+    part = lambda k: F.regexp_extract("cell", r"^c([0-9]+)_([0-9]+)$", k).cast("long")
+    return t.spark.read.parquet(f"{root}/out").groupBy(part(1).alias("cx"), part(2).alias("cy")).agg(F.count("*").alias("n"))

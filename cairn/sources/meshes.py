@@ -147,3 +147,26 @@ def quantize(v: np.ndarray, bits: int = 14) -> tuple[np.ndarray, float, float]:
     """Integers of ``bits`` bits over the range of ``v``, with the range's low end and size."""
     low, size = float(v.min()), float(v.max() - v.min()) or 1.0
     return np.rint((v - low) / size * (2**bits - 1)).astype(np.int64), low, size
+
+
+def write_obj(vertices: DataFrame, faces: DataFrame, root: str) -> None:
+    """Vertices (vid from 1) and faces (vertex numbers from 0) as OBJ lines under ``root``, vertices in order first."""
+    from pyspark.sql import functions as F
+
+    v = vertices.select(F.lit(0).alias("part"), F.col("vid").alias("n"), F.concat_ws(" ", F.lit("v"), "x", "y", "z").alias("line"))
+    f = faces.select(F.lit(1).alias("part"), F.col("fid").alias("n"), F.concat_ws(" ", F.lit("f"), *[F.col(k) + 1 for k in "abc"]).alias("line"))
+    v.union(f).coalesce(1).sortWithinPartitions("part", "n").select("line").write.text(root)
+
+
+def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices (v from 1, x, y, z) and faces (f from 1, a, b, c, numbered from 0) of one OBJ text; a line's place in the
+    file numbers it, so a file is read by one task."""
+    from pyspark.sql import functions as F
+
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("i", "line")).select(F.split(F.trim("line"), r"\s+").alias("w"))
+    pick = lambda kind: lines.where(F.get("w", F.lit(0)) == kind)
+    numbered = lambda df, name: df.select("w", (F.monotonically_increasing_id() + 1).alias(name))
+    at = lambda k: F.get("w", F.lit(k))
+    vertices = numbered(pick("v"), "v").select("v", *[at(k + 1).cast("double").alias(c) for k, c in enumerate("xyz")])
+    faces = numbered(pick("f"), "f").select("f", *[(F.substring_index(at(k + 1), "/", 1).cast("long") - 1).alias(c) for k, c in enumerate("abc")])
+    return vertices, faces
