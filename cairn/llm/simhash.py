@@ -20,6 +20,7 @@ SEED = 42
 #: Each half of a fingerprint is covered by the perfect [31, 26] Hamming code over 31 of its 32 bits.
 CODE_BITS = 31
 BIG_GROUP = 128
+REPLICATED_AT_ONCE = 4096
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -90,8 +91,8 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _replicate(batches):
     for b in batches:
         fp = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-        for k in range(0, len(fp), 1 << 16):
-            part = fp[k : k + (1 << 16)]
+        for k in range(0, len(fp), REPLICATED_AT_ONCE):
+            part = fp[k : k + REPLICATED_AT_ONCE]
             at, anchor = anchors(part.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(part[at])], names=["anchor", "fp"])
 
