@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
+    return {"op1_mixing": mixing.ORACLE_SQL, "op6_suffix_dedup": suffix_dedup.ORACLE_SQL, "op8_url_filter": url_filter.oracle_sql(), "op9_decontamination": decontaminate.ORACLE_SQL}

@@ -393,3 +393,18 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, length: int =
     types = dict(docs.dtypes)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keep], "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept binary"] if with_text else [])])
     return map_texts(joined, [*keep, "spans"], work, schema)
+
+
+#: The same in DuckDB by hashing every string of 400 bytes of the texts' hex forms.
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(length(hex(encode(coalesce(text, '')))) / 2 AS BIGINT) AS n FROM documents),
+w AS (SELECT r, p, md5(substring(h, 2 * p + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, n - 399)) AS p FROM d WHERE n >= 400)),
+f AS (SELECT r, p FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+g AS (SELECT r, p, sum(CASE WHEN p - was <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS g FROM (SELECT *, lag(p) OVER (PARTITION BY r ORDER BY p) AS was FROM f)),
+runs AS (SELECT r, min(p) AS s, max(p) + 400 AS e FROM g GROUP BY r, g),
+edges AS (SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS a, s AS b FROM runs UNION ALL SELECT r, max(e), any_value(n) FROM runs JOIN d USING (r) GROUP BY r),
+left_ AS (SELECT r, sha256(unhex(string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a))) AS digest FROM edges JOIN d USING (r) GROUP BY r),
+sums AS (SELECT r, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(digest, sha256(unhex(h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (r) LEFT JOIN left_ USING (r)
+"""

@@ -89,3 +89,33 @@ def filter_urls(pages: DataFrame, rules=RULES, label: str | None = None, reject:
     counts = urls.groupBy("host", "parts").agg(F.sum(F.when(bad == 0, 1).otherwise(0)).alias("good"), F.sum(F.when(bad == 1, 1).otherwise(0)).alias("bad"), F.count("*").alias("n"))
     judged = urls.join(template_tree(counts), ["host", "parts"], "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("purity") > reject, "block").otherwise("allow")).alias("verdict"), "template", "purity")
+
+
+def oracle_sql(rules=RULES) -> str:
+    """The same in DuckDB: one step of common tables for each level of the tree."""
+    ordered = sorted(rules, key=lambda r: -len(r[0] + r[1]))
+    fits = [f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')" for h, p, _ in ordered]
+    case = lambda values: "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, v in zip(fits, values, strict=True)) + " END"
+    steps = []
+    for d in range(DEPTH + 1):
+        steps.append(f"k{d} AS (SELECT host, t, parts[{d + 1}] AS seg, sum(n) AS n FROM s{d} WHERE len(parts) > {d} GROUP BY ALL)")
+        steps.append(f"w{d} AS (SELECT host, t, count(*) >= {FANOUT} AND sum(n) < 2 * count(*) AS wild FROM k{d} GROUP BY ALL)")
+        steps.append(f"s{d + 1} AS (SELECT s.* REPLACE (CASE WHEN len(parts) <= {d} THEN s.t ELSE list_append(s.t, CASE WHEN wild AND parts[{d + 1}] <> '**' THEN '*' ELSE parts[{d + 1}] END) END AS t) FROM s{d} s LEFT JOIN w{d} w ON s.host = w.host AND s.t = w.t)")
+    pooled = "((all_bad + 1)::DOUBLE / (n + rest + 2))"
+    return rf"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+m AS (SELECT *, list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda s: CASE WHEN regexp_matches(s, '[0-9]') OR length(s) > 40 THEN '*' ELSE s END) AS whole,
+  {case([h + p for h, p, _ in ordered])} AS rule, {case([v for _, _, v in ordered])} AS ruled FROM u),
+p AS (SELECT *, CASE WHEN len(whole) > {DEPTH} THEN list_append(whole[1:{DEPTH}], '**') ELSE whole END AS parts FROM m),
+s0 AS (SELECT host, parts, count(*) FILTER (WHERE ruled = 'allow') AS good, count(*) FILTER (WHERE ruled = 'block') AS bad, count(*) AS n, []::VARCHAR[] AS t FROM p GROUP BY host, parts),
+{", ".join(steps)},
+leaf AS (SELECT host, t, sum(good) AS good, sum(bad) AS bad, t[1:len(t) - 1] AS branch FROM s{DEPTH + 1} GROUP BY host, t),
+above AS (SELECT *, sum(good) OVER b AS all_good, sum(bad) OVER b AS all_bad FROM leaf WINDOW b AS (PARTITION BY host, branch)),
+sums AS (SELECT *, good + bad AS n, all_good + all_bad - good - bad AS rest FROM above),
+tested AS (SELECT *, n > 0 AND rest > 0 AND abs(bad::DOUBLE / greatest(n, 1) - (all_bad - bad)::DOUBLE / greatest(rest, 1))
+  <= {MERGE_Z} * sqrt({pooled} * (1 - {pooled}) * (1::DOUBLE / greatest(n, 1) + 1::DOUBLE / greatest(rest, 1))) AS alike FROM sums),
+pure AS (SELECT host, t, (CASE WHEN alike THEN all_bad ELSE bad END + {0.5 * PRIOR_ROWS})::DOUBLE / (CASE WHEN alike THEN n + rest ELSE n END + {PRIOR_ROWS}) AS purity FROM tested)
+SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN purity > {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, '/' || array_to_string(s.t, '/') AS template, purity
+FROM p JOIN s{DEPTH + 1} s ON p.host = s.host AND p.parts = s.parts JOIN pure ON pure.host = s.host AND pure.t = s.t
+"""
