@@ -13,7 +13,10 @@ C = F.col
 
 def _folder(t, name):
     path = shared_dir(t.spark)
-    return f"{path if '://' in path else 'file://' + path}/{name}-{uuid.uuid4().hex}"
+    if "://" not in path:  # a path without a scheme is one of the cluster's own file system
+        store = t.spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        path = store.rstrip("/") + path if not store.startswith("file:") else "file://" + path
+    return f"{path}/{name}-{uuid.uuid4().hex}"
 
 
 def _las_folder(t, point_format):
