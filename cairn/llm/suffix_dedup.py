@@ -18,9 +18,9 @@ LENGTH = 400
 #: Bytes of the grams that anchors are chosen from.
 GRAM = 16
 #: Bytes of run texts under one suffix array.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Different run texts of one anchor from which its texts are dealt over several shards.
-HOT_TEXTS = 4_000
+HOT_TEXTS = 2_000
 _CHUNK = 1 << 19
 
 
