@@ -477,7 +477,7 @@ def test_registered_queries_agree_with_sql(spark):
     from cairn.llm import queries
 
     c = duckdb.connect()
-    for name in ("documents", "benchmark"):
+    for name in ("documents", "benchmark", "pages"):
         c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, SF)
