@@ -133,6 +133,31 @@ def test_passages(spark, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_between_the_ends_of_a_seed(spark):
+    """Two texts share 60 words, and unrelated texts of all keys hold each of the seeds alone."""
+    rng = random.Random(12)
+    shared = words(60, rng)
+    every = shared.split()
+    lines = [" ".join(every[k : k + substring_dedup.SEED_WORDS]) for k in range(56)]
+    texts = [f"{words(40, rng)} {shared} {words(40, rng)}" for _ in range(30)]
+    texts = [r.text for r in table(spark, texts).orderBy(F.abs(F.xxhash64("text"))).limit(2).collect()]  # keys in the middle
+    texts += [" ".join(f"{words(25, rng)} {line} {words(25, rng)}" for line in rng.sample(lines, 56)) for _ in range(16)]
+    out = by_id(substring_dedup.repeated_passages(table(spark, texts)), "spans", "partner_ids")
+    assert out.keys() == {0, 1} and all(s[0]["start"] <= 40 and s[0]["end"] >= 100 for s, _ in out.values())
+    assert out[0][1] == [1] and out[1][1] == [0]
+
+
+def test_passages_at_every_place_of_a_seed(spark):
+    """The passage's words stand in each text once more, seed by seed, before the passage itself."""
+    rng = random.Random(13)
+    shared = words(60, rng)
+    every = shared.split()
+    lines = [" ".join(every[k : k + substring_dedup.SEED_WORDS]) for k in range(56)]
+    texts = [" ".join(f"{words(25, rng)} {line} {words(25, rng)}" for line in lines) + f" {words(20, rng)} {shared}" for _ in range(2)]
+    out = by_id(substring_dedup.repeated_passages(table(spark, texts)), "n_words", "spans")
+    assert all(any(s["start"] <= n - 60 and s["end"] == n for s in spans) for n, spans in out.values()) and len(out) == 2
+
+
 # 3 toxicity
 
 
