@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,6 +25,8 @@ ODDS = 20.0
 STEMS = (5, 6, 7)
 #: Terms shorter than this are matched exactly only.
 FUZZY_LENGTH = 5
+#: What a term is: a whole word, a stem, or both.
+WORD, STEM, BOTH = 0, 1, 2
 #: Words on each side of a hit that are its context.
 CONTEXT = 6
 #: Distinct words known to be no hit that a worker remembers.
@@ -42,10 +45,10 @@ class LexiconAutomaton:
 
     A state is the set of (trie node, edits so far); transitions are kept once made, so a word costs one dictionary
     look-up a letter and ends at its first letter that no term within distance 1 allows. A stem matches any word that
-    starts with it, without edits.
+    starts with it, without edits; a term that is BOTH also matches as a word, with them.
     """
 
-    terms: dict[str, bool]
+    terms: dict[str, int]
     limit: int = 200_000
     children: list[dict[str, int]] = field(default_factory=lambda: [{}])
     ends: dict[int, str] = field(default_factory=dict)
@@ -53,9 +56,9 @@ class LexiconAutomaton:
     known: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        for term, is_stem in sorted(self.terms.items()):
+        for term, what in sorted(self.terms.items()):
             node = 0
-            near = not is_stem and len(term) >= FUZZY_LENGTH
+            near = what != STEM and len(term) >= FUZZY_LENGTH
             self.fuzzy[0] |= near
             for c in term:
                 if c not in self.children[node]:
@@ -100,15 +103,15 @@ class LexiconAutomaton:
         exact = [self.ends[n] for n, e in state if e == 0 and n in self.ends]
         if word in exact:
             return "exact", word
-        if stems := [t for t in exact if self.terms[t]]:
+        if stems := [t for t in exact if self.terms[t] and word.startswith(t)]:
             return "stem", max(stems, key=len)
-        near = sorted(self.ends[n] for n, e in state if e == 1 and n in self.ends and self.fuzzy[n] and not self.terms[self.ends[n]] and len(self.ends[n]) >= FUZZY_LENGTH)
+        near = sorted(self.ends[n] for n, e in state if e == 1 and n in self.ends and self.fuzzy[n] and self.terms[self.ends[n]] != STEM and len(self.ends[n]) >= FUZZY_LENGTH)
         return ("fuzzy", near[0]) if near else None
 
 
 @dataclass
 class Model:
-    terms: dict[str, bool]
+    terms: dict[str, int]
     weights: list[float] = field(default_factory=lambda: [0.0] * len(FEATURES))
     bias: float = -3.0
     key: str = ""
@@ -117,7 +120,7 @@ class Model:
 class Reader:
     """Finds hits in texts; remembers words that are none, up to REMEMBERED of them."""
 
-    def __init__(self, terms: dict[str, bool]) -> None:
+    def __init__(self, terms: dict[str, int]) -> None:
         self.automaton = LexiconAutomaton(terms)
         self.clean: set[str] = set()
         self.hits: dict[str, tuple[str, str]] = {}
@@ -162,7 +165,7 @@ class Reader:
 _READERS: dict[str, Reader] = {}
 
 
-def reader(key: str, terms: dict[str, bool]) -> Reader:
+def reader(key: str, terms: dict[str, int]) -> Reader:
     """One reader for a lexicon in a worker process."""
     if key not in _READERS:
         _READERS.clear()
@@ -201,6 +204,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def lexicon(chosen: Iterable[str]) -> dict[str, int]:
+    """Words and stems (ending in ``*``) as terms. Longer stems of a stem go; a word stays, for its misspellings."""
+    terms: dict[str, int] = {}
+    for term in sorted(chosen, key=lambda t: (len(t), t)):
+        word, what = term.rstrip("*"), STEM if term.endswith("*") else WORD
+        if what == WORD or not any(terms.get(word[:k]) for k in range(3, len(word))):
+            terms[word] = BOTH if terms.get(word, what) != what else what
+    return terms
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Learn the lexicon and the weights from labelled texts whose doc_id isn't held out.
 
@@ -222,11 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         counted = sample.mapInPandas(_count_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         odds = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5) / base
         chosen = counted.where((F.col("toxic") >= min(SUPPORT, max(2, sizes[1] // 8))) & (odds >= ODDS)).orderBy(F.desc(odds), F.desc("toxic"), "term").limit(MAX_TERMS).collect()
-        terms: dict[str, bool] = {}
-        for row in sorted(chosen, key=lambda r: (len(r["term"]), r["term"])):
-            word = row["term"].rstrip("*")
-            if not any(terms.get(word[:k]) for k in range(3, len(word))):
-                terms[word] = terms.get(word, False) or row["term"].endswith("*")
+        terms = lexicon(r["term"] for r in chosen)
         model = Model(terms, key=xxhash.xxh64_hexdigest(repr(sorted(terms.items()))))
         table = sorted((tuple(r["features"]), r["toxic"]) for r in _features(sample.withColumn("row", F.lit(0)), ["toxic"], model).collect())
     finally:

@@ -183,6 +183,14 @@ def test_automaton_is_levenshtein_one():
     assert auto.match("xyzab") == ("stem", "xyz") and auto.match("xy") is None
 
 
+def test_words_beside_their_stems_have_misspellings():
+    terms = toxicity.lexicon(["stupid", "stupi*", "stupid*", "worthless", "worth*", "idiot", "idiot*"])
+    auto = toxicity.LexiconAutomaton(terms)
+    assert auto.match("stuupid") == ("fuzzy", "stupid") and auto.match("wothless") == ("fuzzy", "worthless") and auto.match("idot") == ("fuzzy", "idiot")
+    assert auto.match("stupid") == ("exact", "stupid") and auto.match("stupidity") == ("stem", "stupi") and auto.match("idiots") == ("stem", "idiot")
+    assert auto.match("wort") is None
+
+
 def test_quotation_and_abuse():
     r = toxicity.Reader({"idiot": False})
     at = lambda text: dict(zip(toxicity.FEATURES, r.features(text), strict=True))
