@@ -216,8 +216,6 @@ def _example(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]
         local = name() + pick("", "." + digits(2), "_" + name(), "." + name(), "+" + name(), digits(2))
         middle = pick("@", "@", "@", " @ ", " (at) ", "[at]")
         span = local + middle + pick("mail", "post", "web") + pick("", digits(1)) + "." + pick("example", name()) + "." + pick("com", "org", "net", "de", "fr")
-        if middle not in ("@", " @ ") and not any(c.isdigit() for c in span):
-            span = digits(2) + span
     elif kind == 1:
         dot = pick(".", ".", ".", " . ", "[.]")
         span = dot.join(str(v) for v in rng.integers(1, 256, 4))

@@ -14,11 +14,12 @@ from cairn.llm import crf
 from cairn.llm.crf import KINDS
 from cairn.llm.textscan import map_texts, text_bytes
 
-#: Code points on each side of a digit or @ that the tagger reads: every kind of span holds one of these.
+#: Code points on each side of a digit, @, (at) or [at] that the tagger reads: every kind of span holds one of these.
 REACH = 40
 #: Mean probability of a span's tags from which it counts.
 CONFIDENCE = 0.9
-TRIGGER = re.compile(rb"[0-9@]")
+TRIGGER = re.compile(rb"[0-9@]|[\[(]at[\])]")
+AT = re.compile(r"[\[(]at[\])]")
 # Fixed patterns of the four kinds. Those of email and ip start where a match can start, so that long runs stay linear.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -79,9 +80,11 @@ def plausible(kind: str, s: str) -> bool:
     return {"email": True, "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]
 
 
-def segments(ids: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of a text within REACH of a digit or @, merged where they touch."""
+def segments(text: str, ids: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of a text within REACH of a digit, @, (at) or [at], merged where they touch."""
     at = np.flatnonzero((ids == crf.CLASS[ord("0")]) | (ids == crf.CLASS[ord("@")]))
+    if written := [k for m in AT.finditer(text) for k in range(*m.span())]:
+        at = np.union1d(at, written)
     if not len(at):
         return []
     cut = np.flatnonzero(np.diff(at) > 2 * REACH)
@@ -94,7 +97,7 @@ def find_spans(texts: list[str], model: dict[str, np.ndarray]) -> list[tuple[lis
     where, parts = [], []
     for k, t in enumerate(texts):
         ids = crf.char_classes(t)
-        for s, e in segments(ids):
+        for s, e in segments(t, ids):
             where.append((k, s))
             parts.append(ids[s:e])
     everything = [list(b) for b in base]

@@ -261,6 +261,16 @@ def test_tagger_adds_spans_and_keeps_base(spark, texts, empty):
     assert pii.mask("a me@x.org b", [(2, 10, "email")]) == "a [EMAIL] b"
 
 
+def test_written_out_emails_without_digits_are_read():
+    """The tagger reads and bounds them; whether it is sure enough (CONFIDENCE) is not what this holds."""
+    for email in ("anna.meyer (at) mail.example.org", "anna.meyer[at]post.example.com"):
+        text = f"please write to {email} for more"
+        ids = crf.char_classes(text)
+        (start, end), = pii.segments(text, ids)
+        (kind, s, e, _), = crf.decode([ids[start:end]], crf.trained())[0]
+        assert pii.TRIGGER.search(text.encode()) and crf.KINDS[kind] == "email" and text[start + s : start + e] == email
+
+
 def test_tagger_on_held_out_windows():
     p = crf.trained()
     ids, tags = crf.training_windows(400, 99)
