@@ -406,6 +406,41 @@ def test_near_duplicates(spark, texts, empty, monkeypatch):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def shingle_set(text, n=5):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_near_copies_by_shingle_similarity(spark, texts, empty):
+    """Pairs of 0.8 or more are in one group, those that share under a half aren't, against all pairs' exact similarity."""
+    rng = random.Random(9)
+    rows = list(texts)
+    for k in range(30):
+        source = words(rng.choice([60, 200, 600]), rng).split()
+        rows.append(" ".join(source))
+        for _ in range(3):
+            copy = list(source)
+            for at in rng.sample(range(len(copy)), rng.randint(1, max(1, len(copy) // 50))):
+                copy[at] = words(1, rng)
+            rows.append(" ".join(copy))
+    got = by_id(simhash.near_copies(table(spark, rows)), "component_id")
+    sets = [shingle_set(t) for t in rows]
+    alike, linked = 0, 0
+    for i in range(len(rows)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            similarity = len(sets[i] & sets[j]) / union if union else 1.0
+            if similarity >= 0.8:
+                alike += 1
+                linked += got[i] == got[j]
+            elif similarity < 0.3:
+                assert got[i] != got[j], (i, j, similarity)
+    assert alike > 100 and linked / alike >= 0.95
+    assert simhash.near_copies(empty).count() == 0
+    repeated = table(spark, [rows[-1], rows[-1], None, None], [7, 7, None, 3])
+    assert [r.component_id for r in simhash.near_copies(repeated).orderBy("component_id").collect()] == [3, 3, 7, 7]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (7, 7)] + [(1000, k) for k in range(1001, 1050)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
