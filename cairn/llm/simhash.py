@@ -20,6 +20,7 @@ THRESHOLD = 3
 SEED = 42
 #: Each half of a fingerprint is covered by the perfect [31, 26] Hamming code over 31 of its 32 bits.
 CODE_BITS = 31
+SMALL_GROUP = 8
 BIG_GROUP = 128
 REPLICATED_AT_ONCE = 4096
 #: near_copies(): words of a shingle, words of a fingerprint, those of them that have anchors, and the bits of the
@@ -128,9 +129,12 @@ def _replicate(batches):
 def link_group(fp: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[np.ndarray, np.ndarray]]:
     """A spanning forest of the links within one anchor's different fingerprints: each link's two ends.
 
+    Of a group of at most BIG_GROUP, fingerprints that are near no other are left out first, all at once.
     Grown breadth first: a fingerprint is compared with those not reached yet, so a dense group takes few comparisons
     and no list of all its pairs is made.
     """
+    if len(fp) <= BIG_GROUP:
+        fp = fp[(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= threshold).sum(1) > 1]
     found, left = [], fp
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
@@ -146,17 +150,18 @@ def link_group(fp: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[np.ndar
 
 
 def link_sorted(anchor: np.ndarray, fp: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each run of equal ``anchor``; small runs all at once, shift by shift, large ones each by itself."""
+    """Links within each run of equal ``anchor``; runs of up to SMALL_GROUP all at once, shift by shift, each larger one
+    as a spanning forest."""
     starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, len(anchor)])
     a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for k in np.flatnonzero(sizes > BIG_GROUP):
+    for k in np.flatnonzero(sizes > SMALL_GROUP):
         for x, y in link_group(np.unique(fp[starts[k] : starts[k] + sizes[k]]), threshold):
             a.append(x)
             b.append(y)
-    small = np.repeat(sizes <= BIG_GROUP, sizes)
+    small = np.repeat(sizes <= SMALL_GROUP, sizes)
     anchor, fp = anchor[small], fp[small]
-    for shift in range(1, int(sizes[sizes <= BIG_GROUP].max(initial=1))):
+    for shift in range(1, int(sizes[sizes <= SMALL_GROUP].max(initial=1))):
         same = np.flatnonzero(anchor[shift:] == anchor[:-shift])
         if not len(same):
             break

@@ -392,7 +392,7 @@ def test_near_duplicates(spark, texts, empty, monkeypatch):
             near.append(" ".join(t))
     every = [*texts, *near]
     for big in (128, 2):
-        monkeypatch.setattr(simhash, "BIG_GROUP", big)
+        monkeypatch.setattr(simhash, "SMALL_GROUP", big)
         out = by_id(simhash.near_duplicates(table(spark, every)), "fingerprint", "component_id")
         fps = [brute_fingerprint(t) for t in every]
         assert [out[i][0] for i in range(len(every))] == [f"{f:016x}" for f in fps]
