@@ -158,6 +158,69 @@ def test_passages_at_every_place_of_a_seed(spark):
     assert all(any(s["start"] <= n - 60 and s["end"] == n for s in spans) for n, spans in out.values()) and len(out) == 2
 
 
+def longest_common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[-1]))
+    return row[-1]
+
+
+def test_passages_against_brute_force(spark):
+    """Exact repeats of 30 words are covered, all of them; fuzzy ones of 60 mostly; what is reported is similar."""
+    rng = random.Random(21)
+    vocabulary = [words(1, rng) for _ in range(2000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows, fuzzy = [some(rng.randint(0, 200)) for _ in range(60)], []
+    everywhere = some(64)
+    rows += [some(rng.randint(0, 40)) + everywhere + some(rng.randint(0, 40)) for _ in range(200)]  # one passage in very many
+    for _ in range(25):
+        source = some(rng.randint(30, 120))
+        for _ in range(rng.randint(2, 4)):
+            part = source[rng.randint(0, 10) :]
+            rows.append(some(rng.randint(0, 30)) + part + some(rng.randint(0, 30)) + part[: rng.randint(0, 40)])
+    for _ in range(40):
+        source = some(60)
+        for k in range(2):
+            copy = list(source)
+            for at in rng.sample(range(60), 6 * k):
+                copy[at] = words(1, rng) + "q"
+            before = some(rng.randint(10, 50))
+            fuzzy.append((len(rows), len(before)))
+            rows.append(before + copy + some(rng.randint(10, 50)))
+    line = some(12)
+    rows += [some(4000) + rows[70] + some(20_000), line * 400, line * 300 + some(50), some(3) * 2000]  # very long, repeating themselves
+    rows += [rows[5], rows[5], rows[-2]]
+    texts = [" ".join(r) for r in rows] + [None, ""]
+    out = by_id(substring_dedup.repeated_passages(table(spark, texts)), "spans", "n_passages", "n_repeated", "class_id", "n_copies", "n_words")
+    first = {}
+    for k, r in enumerate(rows):
+        for i in range(len(r) - 29):
+            first.setdefault(tuple(r[i : i + 30]), set()).add(" ".join(r))
+    for k, r in enumerate(rows):
+        covered = {i for s in out[k][0] for i in range(s["start"], s["end"])} if k in out else set()
+        for i in range(len(r) - 29):
+            if len(first[tuple(r[i : i + 30])]) > 1:
+                assert covered >= set(range(i, i + 30)), (k, i)
+        if k in out:
+            spans, n_passages, n_repeated, class_id, n_copies, n_words = out[k]
+            same = [j for j, t in enumerate(texts) if t == texts[k]]
+            assert (n_passages, n_repeated, class_id, n_copies, n_words) == (len(spans), len(covered), min(same), len(same), len(r))
+            assert all(s["end"] - s["start"] >= 30 for s in spans) and all(x["end"] < y["start"] for x, y in zip(spans, spans[1:]))
+    caught = [sum(max(0, min(s["end"], start + 60) - max(s["start"], start)) for s in out[k][0]) >= 48 if k in out else False for k, start in fuzzy]
+    assert sum(caught) / len(caught) >= 0.9
+    assert set(out) <= {k for k, r in enumerate(rows) if k >= 60 or r == rows[5]} and len(texts) - 1 not in out
+    keyed = table(spark, texts).select(F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("key", F.xxhash64("text"))
+    by_key = {r.key: r.text.lower().split() for r in keyed.collect()}
+    found = substring_dedup.passages(keyed).distinct().collect()
+    for r in rng.sample(found, 300):
+        a, b = by_key[r.text][r.start : r.end], by_key[r.other][r.other_start : r.other_end]
+        if len(a) < 500:
+            assert r.matched <= longest_common(a, b) and 2 * r.matched >= 0.8 * (len(a) + len(b)) - 1e-9
+
+
 # 3 toxicity
 
 
