@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _TABLES: list[str] = []
+#: Public setting: delete a query's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_session(app: str = "cairn", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,30 +35,53 @@ def get_session(app: str = "cairn", master: str | None = None, **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On a local master, where it may be unset, a new
+    temporary one; on a cluster that would be a folder that each machine has for itself, so it must be set there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The shuffle files of the write are deleted with it, as nothing is computed from them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _TABLES.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.materialized_at = path
+    return table
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables that materialize() gave and nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.materialized_at)
+        _TABLES.remove(table.materialized_at)
+
+
 def clear_tables(spark: SparkSession) -> None:
     """Delete what materialize() wrote in this process; for between jobs, when no result still reads it."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     while _TABLES:
-        path = hadoop.Path(_TABLES.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _TABLES.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
