@@ -40,10 +40,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, block_bytes: int = BLOCK
     """Flat files of 16-bit token ids, each document followed by the separator: file, block, doc_ids, data.
 
     Each task's documents are one file, cut into blocks of ``block_bytes``; ``doc_ids`` are the documents whose
-    separator stands in the block, in order. Null text is a document without tokens.
+    separator stands in the block, in order, of the type they have. Null and empty texts are documents without tokens,
+    very long ones span blocks; null and repeated doc_ids are kept, each row being a document; an empty table gives no
+    block; other columns are ignored.
     """
-    path = tokenizer or default_tokenizer()
-    schema = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("data", pa.binary())])
+    path, kind = tokenizer or default_tokenizer(), dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         from pyspark import TaskContext
@@ -57,11 +58,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, block_bytes: int = BLOCK
             while len(data) >= block_bytes or (last and data):
                 part, data = data[:block_bytes], data[block_bytes:]
                 n = int(np.searchsorted(ends, len(part), "right"))
-                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block]), pa.array([ids[:n]], pa.list_(pa.int64())), pa.array([part])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block]), pa.array([ids[:n]], schema.field("doc_ids").type), pa.array([part])], schema=schema)
                 ids, ends, block = ids[n:], [e - len(part) for e in ends[n:]], block + 1
             rest, size = ([data] if data else []), len(data)
 
+        schema = None
         for batch in (piece for b in batches for piece in pieces(b)):
+            schema = schema or pa.schema([("file", pa.int64()), ("block", pa.int64()), ("doc_ids", pa.list_(batch.schema.field("doc_id").type)), ("data", pa.binary())])
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 tokens = np.array(encode(text or ""), "<u2").tobytes() + end.tobytes()
                 rest.append(tokens)
@@ -72,7 +75,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, block_bytes: int = BLOCK
                     yield from give(b"".join(rest), False)
         yield from give(b"".join(rest), True)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file long, block long, doc_ids array<long>, data binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"file long, block long, doc_ids array<{kind}>, data binary")
 
 
 def read_flat(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -661,6 +661,18 @@ def test_token_counts(docs, texts, empty, block):
     assert token_counts.document_counts(token_counts.pack(empty)).count() == 0
 
 
+def test_token_counts_of_any_id_and_very_long_texts(spark, empty):
+    rng = random.Random(2)
+    long_text = words(400_000, rng)
+    named = spark.createDataFrame([("a", long_text), ("b", None), ("b", "x"), (None, ""), ("c", long_text[:1000])], "doc_id string, text string")
+    blocks = token_counts.pack(named.repartition(1))
+    assert blocks.count() > 1
+    encode = token_counts.encoding(token_counts.default_tokenizer()).encode_ordinary
+    got = sorted((str(r.doc_id), r.n_tokens) for r in token_counts.document_counts(blocks).collect())
+    assert got == sorted([("a", len(encode(long_text))), ("b", 0), ("b", len(encode("x"))), ("None", 0), ("c", len(encode(long_text[:1000])))])
+    assert token_counts.document_counts(token_counts.pack(empty)).count() == 0
+
+
 def test_flat_files(spark, tmp_path):
     rng = np.random.default_rng(3)
     expected = []
