@@ -238,7 +238,7 @@ def near_copies(docs: DataFrame, keep: list[str] | None = None, anchor_words: in
     for end in ("a", "b"):
         degree = links.groupBy(end).agg(F.count("*").alias("degree"))
         side = degree.join(nodes.select(F.col("fp").alias(end), *[F.col(w).alias(f"{end}_{w}") for w in words[1:]]), end)
-        links = join_hot(links, side, [end], "degree", total).drop("degree")
+        links = materialize(join_hot(links, side, [end], "degree", total).drop("degree"), "wide-links")
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     for w in words[1:]:
         apart = apart + F.bit_count(F.col("a_" + w).bitwiseXOR(F.col("b_" + w)))
