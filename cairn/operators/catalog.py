@@ -35,39 +35,62 @@ def closure(tiles: DataFrame, level: Column, root: int) -> DataFrame:
     return ups.select((level - F.col("_up")).alias("level"), up("x").alias("x"), up("y").alias("y")).distinct()
 
 
-def availability(tiles: DataFrame, depth: int) -> DataFrame:
-    """Per root cell (cx, cy): the tiles of ``depth`` levels below as one Boolean array, level by level in Morton order.
+def availability_bits(tiles: DataFrame, depth: int, bits: str = "bits") -> DataFrame:
+    """Per root cell (cx, cy): which tiles of ``depth`` levels below it there are, level by level in Morton order, as hex
+    bytes with the least significant bit first.
 
-    ``tiles`` has cx, cy, d (levels below the cell), lx, ly (place within the cell).
+    ``tiles`` has cx, cy, d (levels below the cell), lx, ly (place within the cell); repeats count once. Bits are merged to
+    bytes in a partial aggregation, so a cell sends its bytes, not its tiles.
     """
-    places = sum(4**d for d in range(depth))
-    start = (F.pow(F.lit(4), F.col("d")) - 1) / 3
-    at = (start.cast("long") + morton(F.col("lx"), F.col("ly"), depth)).cast("int")
-    held = tiles.where(F.col("d") < depth).groupBy("cx", "cy").agg(F.collect_set(at).alias("held"))
-    return held.select("cx", "cy", F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda i: F.array_contains("held", i)).alias("available"))
+    n_bytes = (sum(4**d for d in range(depth)) + 7) // 8
+    start = ((F.pow(F.lit(4), F.col("d")) - 1) / 3).cast("long")
+    held = tiles.where((F.col("d") >= 0) & (F.col("d") < depth)).withColumn("at", start + morton(F.col("lx"), F.col("ly"), depth))
+    one = F.call_function("shiftleft", F.lit(1), (F.col("at") % 8).cast("int"))
+    blank = held.select("cx", "cy").distinct().select("cx", "cy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bytes - 1).cast("long"))).alias("k"), F.lit(0).alias("v"))
+    set_bytes = held.groupBy("cx", "cy", F.floor(F.col("at") / 8).alias("k")).agg(F.bit_or(one).alias("v"))
+    merged = set_bytes.unionByName(blank).groupBy("cx", "cy", "k").agg(F.bit_or("v").alias("v"))
+    in_order = F.array_sort(F.collect_list(F.struct("k", F.lpad(F.hex("v"), 2, "0").alias("h"))))
+    return merged.groupBy("cx", "cy").agg(F.array_join(F.transform(in_order, lambda s: s["h"]), "").alias(bits))
 
 
-def subtree(tile_bits: bytes, child_bits: bytes | None) -> bytes:
-    """A 3D Tiles subtree: 24-byte header, JSON padded to 8 with spaces, buffers padded to 8 with zeros."""
-    pad = lambda b, fill: b + fill * (-len(b) % 8)
-    parts = [tile_bits] + ([child_bits] if child_bits is not None else [])
+def with_ancestors(tiles: DataFrame) -> DataFrame:
+    """cx, cy, d, lx, ly of tiles within their root cells, and of all tiles above them down to d = 0."""
+    ups = tiles.select("cx", "cy", "d", "lx", "ly", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d").cast("long"))).alias("up"))
+    above = lambda c: F.call_function("shiftright", F.col(c), F.col("up").cast("int")).alias(c)
+    return ups.select("cx", "cy", (F.col("d") - F.col("up")).alias("d"), above("lx"), above("ly")).distinct()
+
+
+def subtree(tile_bits: bytes, content_bits: bytes, children: bytes | bool = False) -> bytes:
+    """A 3D Tiles subtree: 24-byte header, JSON padded to 8 with spaces, buffers padded to 8 with zeros.
+
+    Bit streams 0 and 1 are of tiles and of contents; ``children`` is the third, or a constant.
+    """
+    padded = lambda b, fill: b.ljust(-(-len(b) // 8) * 8, fill)
+    streams = [tile_bits, content_bits, *([children] if isinstance(children, bytes) else [])]
     views, buffer = [], b""
-    for p in parts:
-        views.append({"buffer": 0, "byteOffset": len(buffer), "byteLength": len(p)})
-        buffer += pad(p, b"\0")
-    meta = {"buffers": [{"byteLength": len(buffer)}], "bufferViews": views, "tileAvailability": {"bitstream": 0}, "contentAvailability": [{"bitstream": 0}], "childSubtreeAvailability": {"bitstream": 1} if child_bits is not None else {"constant": 0}}
-    text = pad(json.dumps(meta).encode(), b" ")
-    return b"subt" + struct.pack("<IQQ", 1, len(text), len(buffer)) + text + buffer
+    for bits in streams:
+        buffer = padded(buffer, b"\0")
+        views.append({"buffer": 0, "byteOffset": len(buffer), "byteLength": len(bits)})
+        buffer += bits
+    below = {"bitstream": 2} if isinstance(children, bytes) else {"constant": int(children)}
+    meta = {"buffers": [{"byteLength": len(buffer)}], "bufferViews": views, "tileAvailability": {"bitstream": 0}, "contentAvailability": [{"bitstream": 1}], "childSubtreeAvailability": below}
+    text, body = padded(json.dumps(meta, separators=(",", ":")).encode(), b" "), padded(buffer, b"\0")
+    return struct.pack("<4sIQQ", b"subt", 1, len(text), len(body)) + text + body
+
 
+def subtrees(tiles: DataFrame, depth: int) -> DataFrame:
+    """cx, cy, subtree: the packed subtree of each root cell from its contents (cx, cy, d, lx, ly).
 
-def subtrees(bits: DataFrame, key: list[str], hexed: str) -> DataFrame:
-    """Rows with a hex bit string to rows with the packed subtree."""
+    Tiles are the contents and all that stand above them. No subtree has children.
+    """
 
     @F.pandas_udf("binary")
-    def pack(values: pd.Series) -> pd.Series:
-        return values.map(lambda h: subtree(bytes.fromhex(h), None))
+    def pack(tile_bits: pd.Series, content_bits: pd.Series) -> pd.Series:
+        return pd.Series([subtree(bytes.fromhex(a), bytes.fromhex(b)) for a, b in zip(tile_bits, content_bits, strict=True)])
 
-    return bits.select(*key, pack(hexed).alias("subtree"))
+    contents = tiles.where((F.col("d") >= 0) & (F.col("d") < depth))
+    both = availability_bits(with_ancestors(contents), depth, "tile_bits").join(availability_bits(contents, depth, "content_bits"), ["cx", "cy"])
+    return both.select("cx", "cy", pack("tile_bits", "content_bits").alias("subtree"))
 
 
 def missing_levels(cells: DataFrame, stored: DataFrame, levels: list[int]) -> DataFrame:

@@ -1,10 +1,15 @@
-"""Event handling in batch form: debounce, throttle, pairing, playback."""
+"""Event handling in batch form: debounce, throttle, pairing, playback, retries."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from cairn.operators.ordered import scan_in_order
+from cairn.session import materialize
 
 
 def debounce(events: DataFrame, key: str, order: list[str], time: Column, gap: float) -> DataFrame:
@@ -13,44 +18,43 @@ def debounce(events: DataFrame, key: str, order: list[str], time: Column, gap: f
     return events.withColumn("_t", time).withColumn("_next", F.lead("_t").over(w)).where(F.col("_next").isNull() | (F.col("_next") - F.col("_t") >= gap)).drop("_t", "_next")
 
 
-def _fold(events: DataFrame, key: str, order: list[str], time: Column, accept) -> DataFrame:
-    """Accepted events of each key, where ``accept`` is told the state and each event in order.
+def throttle(events: DataFrame, key: str, order: list[str], time: Column, gap: float, x: str, y: str) -> DataFrame:
+    """Events accepted at least ``gap`` after the last accepted one and at another place. Without a time an event isn't accepted."""
+
+    def start():
+        was = None
 
-    What is accepted hangs on all that was before, so a key's events are one group, bounded by a user's events.
-    """
-    schema = events.schema
+        def accept(t, px, py) -> bool:
+            nonlocal was
+            ok = t is not None and (was is None or (t - was[0] >= gap and (px, py) != was[1:]))
+            was = (t, px, py) if ok else was
+            return ok
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order)
-        state: dict = {}
-        flags = [accept(state, r) for r in f.to_dict("records")]
-        return f[flags][schema.names]
+        return accept
 
-    return events.withColumn("_t", time).groupBy(key).applyInPandas(run, schema)
+    return _accepted(events, key, order, time, x, y, start)
 
 
-def throttle(events: DataFrame, key: str, order: list[str], time: Column, gap: float, x: str, y: str) -> DataFrame:
-    """Events accepted at least ``gap`` after the last accepted one and at another place."""
+def double_clicks(events: DataFrame, key: str, order: list[str], time: Column, gap: float, distance: float, x: str, y: str) -> DataFrame:
+    """The second event of each pair within ``gap`` and ``distance``; an event is in one pair, one without time or place in none."""
 
-    def accept(state: dict, r: dict) -> bool:
-        ok = not state or (r["_t"] - state["t"] >= gap and (r[x], r[y]) != state["at"])
-        if ok:
-            state.update(t=r["_t"], at=(r[x], r[y]))
-        return ok
+    def start():
+        was = None
 
-    return _fold(events, key, order, time, accept)
+        def accept(t, px, py) -> bool:
+            nonlocal was
+            whole = None not in (t, px, py)
+            hit = whole and was is not None and t - was[0] <= gap and (px - was[1]) ** 2 + (py - was[2]) ** 2 <= distance**2
+            was = (t, px, py) if whole and not hit else None
+            return hit
 
+        return accept
 
-def double_clicks(events: DataFrame, key: str, order: list[str], time: Column, gap: float, distance: float, x: str, y: str) -> DataFrame:
-    """The second event of each pair within ``gap`` and ``distance``; an event is in one pair."""
+    return _accepted(events, key, order, time, x, y, start)
 
-    def accept(state: dict, r: dict) -> bool:
-        was = state.get("was")
-        hit = was is not None and r["_t"] - was[0] <= gap and (r[x] - was[1]) ** 2 + (r[y] - was[2]) ** 2 <= distance**2
-        state["was"] = None if hit else (r["_t"], r[x], r[y])
-        return hit
 
-    return _fold(events, key, order, time, accept)
+def _accepted(events: DataFrame, key: str, order: list[str], time: Column, x: str, y: str, start) -> DataFrame:
+    return scan_in_order(events.withColumn("_t", time), key, order, ["_t", x, y], "_ok", BooleanType(), start).where("_ok").drop("_t", "_ok")
 
 
 def playback(ticks: DataFrame, key: str, order: list[str], seconds: Column, speed: float, longest_step: float) -> DataFrame:
@@ -58,3 +62,21 @@ def playback(ticks: DataFrame, key: str, order: list[str], seconds: Column, spee
     w = Window.partitionBy(key).orderBy(*order)
     step = F.least(F.coalesce(F.col("_t") - F.lag("_t").over(w), F.lit(0.0)), F.lit(longest_step)) * speed
     return ticks.withColumn("_t", seconds).withColumn("_s", step).withColumn("travelled", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_t", "_s")
+
+
+def retry(jobs: DataFrame, run: Callable[[DataFrame], DataFrame], attempts: int) -> DataFrame:
+    """Jobs run until they succeed, ``attempts`` times at most: ``run``'s rows of each job's last attempt, and ``attempt``.
+
+    ``run`` is given the jobs still open with their ``attempt`` and returns them with a Boolean ``ok`` (null: failed). Each
+    round is a table, so only failed jobs run again and a finished one never does.
+    """
+    done, todo = None, jobs
+    for k in range(1, attempts + 1):
+        now = materialize(run(todo.withColumn("attempt", F.lit(k))), "attempt")
+        ok = F.coalesce(F.col("ok"), F.lit(False))
+        rows = now if k == attempts else now.where(ok)
+        done = rows if done is None else done.unionByName(rows)
+        todo = now.where(~ok).select(jobs.columns)
+        if todo.isEmpty():
+            break
+    return done

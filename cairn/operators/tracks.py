@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType
+
+from cairn.operators.ordered import scan_in_order
 
 
 def cumulative_distance(points: DataFrame, key: str, order: list[str], x: str, y: str) -> DataFrame:
@@ -34,37 +36,50 @@ def point_at(measured: DataFrame, asked: DataFrame, key: str, coordinates: list[
 
 
 def exponential_smooth(points: DataFrame, key: str, order: list[str], value: str, seconds: Column, tau: float) -> DataFrame:
-    """``smooth``: s += (v - s) * (1 - exp(-dt / tau)) along each track, from its first value.
+    """``smooth``: s += (v - s) * (1 - exp(-dt / tau)) along each track, from its first value; a null value or time keeps s."""
 
-    A recurrence along one track's order: the fold runs over the track's sorted array, inside the JVM.
-    """
-    rows = points.select(key, F.struct(*[F.col(c) for c in order], F.col(value).cast("double").alias("_v"), seconds.alias("_t")).alias("r"))
-    tracks = rows.groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    def start():
+        s = t = None
+
+        def step(v, now):
+            nonlocal s, t
+            if v is not None and now is not None:
+                s = v if s is None else s + (v - s) * (1 - math.exp(-(now - t) / tau))
+                t = now
+            return s
 
-    def step(a: Column, r: Column) -> Column:
-        k = 1 - F.exp(-(r["_t"] - a["t"]) / tau)
-        s = F.when(a["s"].isNull(), r["_v"]).otherwise(a["s"] + (r["_v"] - a["s"]) * k)
-        return F.struct(s.alias("s"), r["_t"].alias("t"), F.concat(a["out"], F.array(s)).alias("out"))
+        return step
 
-    start = F.struct(F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("t"), F.array().cast("array<double>").alias("out"))
-    folded = tracks.withColumn("out", F.aggregate("rs", start, step, lambda a: a["out"]))
-    return folded.select(key, F.explode(F.arrays_zip("rs", "out")).alias("z")).select(key, *[F.col(f"z.rs.{c}").alias(c) for c in order], F.col("z.out").alias("smooth"))
+    rows = points.select(key, *order, F.col(value).cast("double").alias("_v"), seconds.cast("double").alias("_t"))
+    return scan_in_order(rows, key, order, ["_v", "_t"], "smooth", DoubleType(), start).drop("_v", "_t")
 
 
 def declutter(labels: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The labels (boxes x0, y0, x1, y1) of each ``key`` that stay when, in order, each that overlaps a kept one goes."""
-
-    def keep(f: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        flags = []
-        for r in f.sort_values(order).itertuples(index=False):
-            free = all(not (r.x0 < k[2] and r.x1 > k[0] and r.y0 < k[3] and r.y1 > k[1]) for k in kept)
-            flags.append(free)
-            if free:
-                kept.append((r.x0, r.y0, r.x1, r.y1))
-        return f.sort_values(order)[flags]
-
-    return labels.groupBy(key).applyInPandas(keep, labels.schema)
+    """The labels (boxes x0, y0, x1, y1) of each ``key`` that stay when, in order, each that overlaps a kept one goes.
+
+    Kept boxes stand in a grid as wide as the widest box and as high as the highest, so a label is compared with those
+    of nine cells. A label that lacks a coordinate overlaps nothing and stays.
+    """
+    most = labels.agg(F.max(F.col("x1") - F.col("x0")).alias("w"), F.max(F.col("y1") - F.col("y0")).alias("h")).first()
+    w, h = max(float(most["w"] or 0), 1e-9), max(float(most["h"] or 0), 1e-9)
+
+    def start():
+        kept: dict[tuple[int, int], list[tuple]] = {}
+
+        def stays(x0, y0, x1, y1) -> bool:
+            if None in (x0, y0, x1, y1):
+                return True
+            i, j = math.floor(x0 / w), math.floor(y0 / h)
+            for a in (i - 1, i, i + 1):
+                for b in (j - 1, j, j + 1):
+                    if any(x0 < k[2] and x1 > k[0] and y0 < k[3] and y1 > k[1] for k in kept.get((a, b), ())):
+                        return False
+            kept.setdefault((i, j), []).append((x0, y0, x1, y1))
+            return True
+
+        return stays
+
+    return scan_in_order(labels, key, order, ["x0", "y0", "x1", "y1"], "_stays", BooleanType(), start).where("_stays").drop("_stays")
 
 
 def paint(points: DataFrame, key: str, order: list[str], box: tuple[float, float, float], side: int = 256) -> DataFrame:

@@ -66,19 +66,38 @@ def agg21_ancestor_closure(t):
 _MORTON = " + ".join(f"((lx >> {k}) & 1) * {4**k} + ((ly >> {k}) & 1) * {2 * 4**k}" for k in range(4))
 
 
-@query(f"""WITH p AS (SELECT cx, cy, level - 11 AS d, x - cx * CAST(power(2, level - 11) AS BIGINT) AS lx, y - cy * CAST(power(2, level - 11) AS BIGINT) AS ly FROM v_tile WHERE level < 15 AND bytes > 0),
- a AS (SELECT DISTINCT cx, cy, CAST((power(4, d) - 1) / 3 AS BIGINT) + {_MORTON} AS pos FROM p), b AS (SELECT cx, cy, k, CAST(coalesce(sum(1 << (pos % 8)::INT), 0) AS BIGINT) AS v FROM (SELECT DISTINCT cx, cy FROM a) c CROSS JOIN range(11) r(k) LEFT JOIN a USING (cx, cy) WHERE pos IS NULL OR pos // 8 = k GROUP BY cx, cy, k),
- f AS (SELECT c.cx, c.cy, k, coalesce(v, 0) AS v FROM (SELECT DISTINCT cx, cy FROM a) c CROSS JOIN range(11) r(k) LEFT JOIN b USING (cx, cy, k))
- SELECT cx, cy, upper(string_agg(lpad(to_hex(v), 2, '0'), '' ORDER BY k)) AS bits FROM f GROUP BY cx, cy""")
-def agg22_availability_bits(t):
+_PLACES = "p AS (SELECT DISTINCT cx, cy, level - 11 AS d, x - cx * CAST(power(2, level - 11) AS BIGINT) AS lx, y - cy * CAST(power(2, level - 11) AS BIGINT) AS ly FROM v_tile WHERE level < 15 AND bytes > 0)"
+
+
+def _bits(places, name):
+    """SQL of each cell's bits as hex, from its places."""
+    return f"""{name}a AS (SELECT DISTINCT cx, cy, CAST((power(4, d) - 1) / 3 AS BIGINT) + {_MORTON} AS pos FROM {places}),
+ {name}b AS (SELECT cx, cy, pos // 8 AS k, CAST(sum(1 << (pos % 8)::INT) AS BIGINT) AS v FROM {name}a GROUP BY ALL),
+ {name}f AS (SELECT c.cx, c.cy, k, coalesce(v, 0) AS v FROM (SELECT DISTINCT cx, cy FROM {name}a) c CROSS JOIN range(11) r(k) LEFT JOIN {name}b USING (cx, cy, k)),
+ {name} AS (SELECT cx, cy, upper(string_agg(lpad(to_hex(v), 2, '0'), '' ORDER BY k)) AS bits FROM {name}f GROUP BY cx, cy)"""
+
+
+def _places(t):
     n = F.pow(F.lit(2), C("level") - 11).cast("long")
-    p = t.v_tile.where("level < 15 AND bytes > 0").select("cx", "cy", (C("level") - 11).alias("d"), (C("x") - C("cx") * n).alias("lx"), (C("y") - C("cy") * n).alias("ly"))
-    return cat.availability(p, 4).select("cx", "cy", text.pack_bits(C("available")).alias("bits"))
+    return t.v_tile.where("level < 15 AND bytes > 0").select("cx", "cy", (C("level") - 11).alias("d"), (C("x") - C("cx") * n).alias("lx"), (C("y") - C("cy") * n).alias("ly"))
+
+
+@query(f"WITH {_PLACES}, {_bits('p', 'own')} SELECT cx, cy, bits FROM own")
+def agg22_availability_bits(t):
+    return cat.availability_bits(_places(t), 4)
+
+
+#: The JSON of a subtree of 85 places without children, padded to a multiple of 8.
+_SUBTREE = '{"buffers":[{"byteLength":27}],"bufferViews":[{"buffer":0,"byteOffset":0,"byteLength":11},{"buffer":0,"byteOffset":16,"byteLength":11}],"tileAvailability":{"bitstream":0},"contentAvailability":[{"bitstream":1}],"childSubtreeAvailability":{"constant":0}}'
+_SUBTREE += " " * (-len(_SUBTREE) % 8)
+_HEAD = (b"subt" + b"".join(n.to_bytes(size, "little") for n, size in ((1, 4), (len(_SUBTREE), 8), (32, 8)))).hex()
 
 
-@query()
+@query(f"""WITH {_PLACES}, up AS (SELECT DISTINCT cx, cy, d - u AS d, lx >> u::INT AS lx, ly >> u::INT AS ly FROM p, range(4) r(u) WHERE u <= d), {_bits('p', 'own')}, {_bits('up', 'every')},
+ s AS (SELECT cx, cy, from_hex('{_HEAD}') || encode('{_SUBTREE}') || from_hex(every.bits || '0000000000' || own.bits || '0000000000') AS b FROM own JOIN every USING (cx, cy))
+ SELECT cx, cy, octet_length(b) AS n_bytes, sha256(b) AS digest FROM s""")
 def snk06_subtree_bytes(t):
-    return cat.subtrees(agg22_availability_bits(t), ["cx", "cy"], "bits").select("cx", "cy", F.length("subtree").alias("n_bytes"), F.sha2("subtree", 256).alias("digest"))
+    return cat.subtrees(_places(t), 4).select("cx", "cy", F.length("subtree").alias("n_bytes"), F.sha2("subtree", 256).alias("digest"))
 
 
 @query("SELECT CASE WHEN bytes > 0 THEN 'ok' ELSE 'failed' END AS outcome, count(*) AS n FROM v_tile GROUP BY ALL")

@@ -23,11 +23,11 @@ def jon05_box_overlap(t):
     return sj.bin_overlap_join(named("l", "a"), named("r", "b"), box("l"), box("r"), 512).where("a < b").select("a", "b")
 
 
-_PT = "p AS (SELECT document_id AS id, x_m % 5000 AS x, y_m % 5000 AS y, y_m % 997 AS z FROM v_poi WHERE document_id % 3 = 0), q AS (SELECT cleabs AS gid, x0 AS px, y0 AS py, (x0 + y0) % 311 AS pz FROM v_footprint)"
+_PT = "p AS (SELECT document_id AS id, x_m % 5000 AS x, y_m % 5000 AS y, y_m % 997 AS z FROM v_poi), q AS (SELECT cleabs AS gid, x0 AS px, y0 AS py, (x0 + y0) % 311 AS pz FROM v_footprint)"
 
 
 def _near(t):
-    p = t.v_poi.where("document_id % 3 = 0").select(C("document_id").alias("id"), (C("x_m") % 5000).alias("x"), (C("y_m") % 5000).alias("y"), (C("y_m") % 997).alias("z"))
+    p = t.v_poi.select(C("document_id").alias("id"), (C("x_m") % 5000).alias("x"), (C("y_m") % 5000).alias("y"), (C("y_m") % 997).alias("z"))
     q = t.v_footprint.select(C("cleabs").alias("gid"), C("x0").alias("px"), C("y0").alias("py"), ((C("x0") + C("y0")) % 311).alias("pz"))
     return p, q
 
@@ -64,13 +64,13 @@ def jon09_embedding_neighbours(t):
     return nearest_vectors(t.embeddings.where("vec_id % 20 = 0"), t.embeddings, 3)
 
 
-@query("SELECT cleabs, x >> 0 AS tx, y AS ty FROM (SELECT cleabs, unnest(range(x0 // 100, x1 // 100 + 1)) AS x, y0, y1 FROM v_footprint), (SELECT unnest(range(0, 60)) AS y) WHERE y BETWEEN y0 // 100 AND y1 // 100 AND (x + y) % 2 = 0")
+@query("SELECT cleabs, x >> 0 AS tx, y AS ty FROM (SELECT cleabs, unnest(range(x0 // 100, x1 // 100 + 1)) AS x, y0, y1 FROM v_footprint), (SELECT unnest(range(0, 60)) AS y) WHERE y BETWEEN y0 // 100 AND y1 // 100")
 def jon12_boxes_on_tiles(t):
     from cairn.functions.tiles import explode_tiles
 
     k = lambda c: F.floor(C(c) / 100).cast("long")
     cover = explode_tiles(t.v_footprint.select("cleabs", "x0", "x1", "y0", "y1"), k("x0"), k("x1"), k("y0"), k("y1"), "tx", "ty")
-    return cover.where((C("tx") + C("ty")) % 2 == 0).select("cleabs", "tx", "ty")
+    return cover.select("cleabs", "tx", "ty")
 
 
 @query("SELECT document_id FROM v_poi WHERE (x_m // 5000, y_m // 5000) IN (SELECT (x0 // 250, y0 // 250) FROM v_footprint)")

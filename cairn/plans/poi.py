@@ -70,20 +70,19 @@ def win02_point_at(t):
     return tracks.point_at(m, asked, "track_id", ["x_cm", "y_cm"]).select("track_id", "d", F.round("x_cm", 3).alias("x_cm"), F.round("y_cm", 3).alias("y_cm"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT track_id, seq, x_cm::DOUBLE AS v, epoch(ts) / 3600.0::DOUBLE AS h, row_number() OVER (PARTITION BY track_id ORDER BY ts, seq) AS n FROM v_track WHERE track_id % 10 = 0),
+@query("""WITH RECURSIVE o AS (SELECT track_id, seq, x_cm::DOUBLE AS v, epoch(ts) / 3600.0::DOUBLE AS h, row_number() OVER (PARTITION BY track_id ORDER BY ts, seq) AS n FROM v_track),
  r AS (SELECT track_id, seq, n, v AS s, h FROM o WHERE n = 1 UNION ALL SELECT o.track_id, o.seq, o.n, r.s + (o.v - r.s) * (1 - exp(-(o.h - r.h) / 5.0)), o.h FROM r JOIN o ON o.track_id = r.track_id AND o.n = r.n + 1) SELECT track_id, seq, round(s, 4) AS smooth FROM r""")
 def win03_exponential_smoothing(t):
-    p = t.v_track.where("track_id % 10 = 0")
     hours = F.unix_micros(C("ts").cast("timestamp")) / 1e6 / 3600.0
-    return tracks.exponential_smooth(p, "track_id", ["ts", "seq"], "x_cm", hours, 5.0).select("track_id", "seq", F.round("smooth", 4).alias("smooth"))
+    return tracks.exponential_smooth(t.v_track, "track_id", ["ts", "seq"], "x_cm", hours, 5.0).select("track_id", "seq", F.round("smooth", 4).alias("smooth"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT waypoint_type AS k, document_id AS id, x_m AS x0, y_m AS y0, x_m + 4000 AS x1, y_m + 3000 AS y1, row_number() OVER (PARTITION BY waypoint_type ORDER BY document_id) AS n FROM v_poi WHERE document_id % 5 = 0),
+@query("""WITH RECURSIVE l AS (SELECT waypoint_type AS k, document_id AS id, x_m AS x0, y_m AS y0, x_m + 4000 AS x1, y_m + 3000 AS y1, row_number() OVER (PARTITION BY waypoint_type ORDER BY document_id) AS n FROM v_poi),
  r AS (SELECT k, 1::BIGINT AS n, [{'id': id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}] AS kept FROM l WHERE n = 1
  UNION ALL SELECT r.k, l.n, CASE WHEN len(list_filter(r.kept, lambda b: l.x0 < b.x1 AND l.x1 > b.x0 AND l.y0 < b.y1 AND l.y1 > b.y0)) = 0 THEN list_append(r.kept, {'id': l.id, 'x0': l.x0, 'y0': l.y0, 'x1': l.x1, 'y1': l.y1}) ELSE r.kept END FROM r JOIN l ON l.k = r.k AND l.n = r.n + 1)
  SELECT k, b.id FROM (SELECT k, unnest(kept) AS b FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1)""".replace("SELECT k, unnest(kept) AS b FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1", "SELECT k, unnest(arg_max(kept, n)) AS b FROM r GROUP BY k"))
 def win05_declutter(t):
-    labels = t.v_poi.where("document_id % 5 = 0").select(C("waypoint_type").alias("k"), C("document_id").alias("id"), C("x_m").alias("x0"), C("y_m").alias("y0"), (C("x_m") + 4000).alias("x1"), (C("y_m") + 3000).alias("y1"))
+    labels = t.v_poi.select(C("waypoint_type").alias("k"), C("document_id").alias("id"), C("x_m").alias("x0"), C("y_m").alias("y0"), (C("x_m") + 4000).alias("x1"), (C("y_m") + 3000).alias("y1"))
     return tracks.declutter(labels, "k", ["id"]).select("k", "id")
 
 

@@ -203,7 +203,7 @@ def scl26_representative_angle(t):
     return s.select("source_id", "lo", "hi", geometry.representative_angle(F.col("lo"), F.col("hi")).alias("repr"))
 
 
-_RECT = "SELECT document_id, 5.5 + document_id % 100 / 100.0 AS lon0, 44.5 AS lat0, 5.5 + document_id % 100 / 100.0 + (document_id % 7) / 10.0 AS lon1, 44.5 + (document_id % 5) / 10.0 AS lat1 FROM v_poi WHERE document_id % 10 = 0"
+_RECT = "SELECT document_id, 5.5 + document_id % 100 / 100.0 AS lon0, 44.5 AS lat0, 5.5 + document_id % 100 / 100.0 + (document_id % 7) / 10.0 AS lon1, 44.5 + (document_id % 5) / 10.0 AS lat1 FROM v_poi"
 _T = lambda v, n: f"(({v} + 180.0) / 360.0 * {n})"
 _U = lambda v, n: f"((0.5 - ln((1 + sin(radians({v}))) / (1 - sin(radians({v})))) / (4 * pi())) * {n})"
 _COVER = f"""b AS ({_RECT}), r AS (SELECT document_id, CAST(floor({_T('lon0', '{n}')}) AS BIGINT) AS x0, CAST(ceil({_T('lon1', '{n}')}) - 1 AS BIGINT) AS x1, CAST(floor({_U('lat1', '{n}')}) AS BIGINT) AS y0, CAST(ceil({_U('lat0', '{n}')}) - 1 AS BIGINT) AS y1 FROM b),
@@ -212,7 +212,7 @@ _COVER = f"""b AS ({_RECT}), r AS (SELECT document_id, CAST(floor({_T('lon0', '{
 
 def _rects(t):
     d = F.col("document_id")
-    return t.v_poi.where("document_id % 10 = 0").select("document_id", (5.5 + d % 100 / 100.0).alias("lon0"), F.lit(44.5).alias("lat0"), (5.5 + d % 100 / 100.0 + (d % 7) / 10.0).alias("lon1"), (44.5 + (d % 5) / 10.0).alias("lat1"))
+    return t.v_poi.select("document_id", (5.5 + d % 100 / 100.0).alias("lon0"), F.lit(44.5).alias("lat0"), (5.5 + d % 100 / 100.0 + (d % 7) / 10.0).alias("lon1"), (44.5 + (d % 5) / 10.0).alias("lat1"))
 
 
 @query("WITH " + _COVER.replace("{n}", "2048.0") + " SELECT document_id, x, y FROM c")

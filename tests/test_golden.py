@@ -1,5 +1,7 @@
 """Values that are known beforehand."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -149,8 +151,41 @@ def test_kernels():
 def test_subtree_layout():
     from cairn.operators.catalog import subtree
 
-    b = subtree(bytes(11), bytes(32))
-    assert b[:4] == b"subt" and len(b) % 8 == 0 and int.from_bytes(b[16:24], "little") == 16 + 32
+    b = subtree(bytes([1]) + bytes(10), bytes([2]) + bytes(10), bytes(32))
+    assert b[:4] == b"subt" and len(b) % 8 == 0 and int.from_bytes(b[16:24], "little") == 16 + 16 + 32
+    n = int.from_bytes(b[8:16], "little")
+    meta, body = json.loads(b[24 : 24 + n]), b[24 + n :]
+    assert [(v["byteOffset"], v["byteLength"]) for v in meta["bufferViews"]] == [(0, 11), (16, 11), (32, 32)] and meta["buffers"] == [{"byteLength": 64}]
+    assert meta["contentAvailability"] == [{"bitstream": 1}] and meta["childSubtreeAvailability"] == {"bitstream": 2} and (body[0], body[16]) == (1, 2)
+    alone = subtree(bytes(11), bytes(11), True)
+    assert json.loads(alone[24 : 24 + int.from_bytes(alone[8:16], "little")])["childSubtreeAvailability"] == {"constant": 1}
+
+
+def test_scans_in_order(spark):
+    from cairn.operators import events, tracks
+
+    rows = [(1, 1, 0.0, 0, 0), (1, 2, 1.0, 0, 0), (1, 3, 5.0, 0, 0), (1, 4, 6.0, 9, 0), (1, 5, None, 9, 9), (2, 1, 0.0, None, 0), (2, 2, 0.5, 1, 1), (2, 3, 0.6, 1, 1), (None, 1, 0.0, 1, 1)]
+    e = spark.createDataFrame(rows, "k long, seq long, t double, x long, y long")
+    got = lambda df: sorted((tuple(r) for r in df.select("k", "seq").collect()), key=str)
+    assert got(events.throttle(e, "k", ["seq"], F.col("t"), 4.0, "x", "y")) == sorted([(1, 1), (1, 4), (2, 1), (None, 1)], key=str)
+    assert got(events.double_clicks(e, "k", ["seq"], F.col("t"), 1.0, 2.0, "x", "y")) == [(1, 2), (2, 3)]
+    assert events.throttle(e.limit(0), "k", ["seq"], F.col("t"), 4.0, "x", "y").count() == 0
+    s = {(r["k"], r["seq"]): r["smooth"] for r in tracks.exponential_smooth(e, "k", ["seq"], "x", F.col("t"), 1.0).collect()}
+    assert s[(1, 4)] == pytest.approx(9 * (1 - np.exp(-1))) and s[(1, 5)] == s[(1, 4)] and s[(2, 1)] is None and s[(2, 3)] == 1
+    assert events.retry(e.limit(0).select("k"), lambda j: j.withColumn("ok", F.lit(True)), 3).count() == 0
+
+
+def test_declutter_against_brute_force(spark):
+    from cairn.operators.tracks import declutter
+
+    rng = np.random.default_rng(3)
+    boxes = [(int(k), n, int(x), int(y), int(x + w), int(y + h)) for n, (k, x, y, w, h) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(-300, 300, 400), rng.integers(-300, 300, 400), rng.integers(1, 60, 400), rng.integers(1, 90, 400), strict=True))]
+    kept = []
+    for b in boxes:
+        if not any(b[0] == k[0] and b[2] < k[4] and b[4] > k[2] and b[3] < k[5] and b[5] > k[3] for k in kept):
+            kept.append(b)
+    df = spark.createDataFrame(boxes, "k long, n long, x0 long, y0 long, x1 long, y1 long")
+    assert sorted(r["n"] for r in declutter(df, "k", ["n"]).collect()) == [b[1] for b in kept]
 
 
 def test_ply_and_glb_round_trip():
