@@ -154,11 +154,29 @@ def viterbi(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray
     return tags
 
 
+def certainty(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Posterior probability (B, T) of each place's tag of ``tags`` under the CRF, by forward-backward; padding has any."""
+    b, t, _ = e.shape
+    alpha = np.empty(e.shape, np.float32)
+    alpha[:, 0] = e[:, 0]
+    for k in range(1, t):
+        alpha[:, k] = e[:, k] + _logsum(alpha[:, k - 1, :, None] + trans, 1)
+    z = _logsum(alpha[np.arange(b), lengths - 1], 1)
+    out, beta = np.empty((b, t)), np.zeros((b, TAGS))
+    for k in range(t - 1, -1, -1):
+        at = tags[:, k].astype(np.int64)
+        out[:, k] = np.exp(np.minimum(0, alpha[np.arange(b), k, at] + beta[np.arange(b), at] - z))
+        if k:
+            beta = np.where((k < lengths)[:, None], _logsum(trans + (e[:, k] + beta)[:, None, :], 2), 0)
+    return out
+
+
 def decode(segments: list[np.ndarray], p: dict) -> list[list[tuple[int, int, int, float]]]:
     """For each segment of classes: (kind number, start, end, confidence) of its spans.
 
     Overlapping windows are scored apart. Each place's scores are then averaged, a window's middle counting most, and
-    one CRF path is decoded over the whole segment, so that windows can't disagree.
+    one CRF path is decoded over the whole segment, so that windows can't disagree. A span's confidence is the mean
+    posterior probability of its tags.
     """
     windows, owner = [], []
     for s, ids in enumerate(segments):
@@ -189,8 +207,7 @@ def decode(segments: list[np.ndarray], p: dict) -> list[list[tuple[int, int, int
         for row, s in enumerate(group):
             e[row, : lengths[row]] = sums[s] / weights[s][:, None]
         tags = viterbi(e, lengths, p["T"])
-        prob = np.exp(e - e.max(2, keepdims=True))
-        prob = np.take_along_axis(prob / prob.sum(2, keepdims=True), tags[:, :, None].astype(np.int64), 2)[:, :, 0]
+        prob = certainty(e, lengths, p["T"], tags)
         for row in np.flatnonzero(((tags > 0) & (np.arange(lengths[-1]) < lengths[:, None])).any(1)):
             t = tags[row, : lengths[row]]
             start = None
@@ -205,33 +222,48 @@ def decode(segments: list[np.ndarray], p: dict) -> list[list[tuple[int, int, int
 
 
 def _example(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
-    """A window's text and its spans (kind number, start, end): invented words, at most one span, or a look-alike."""
+    """A window's text and its spans (kind number, start, end): invented words in prose, lists, tables and marked-up text,
+    at most one span, or a look-alike."""
     pick = lambda *x: x[rng.integers(len(x))]
     digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    hexed = lambda n: "".join(pick(*"0123456789abcdef") for _ in range(n))
     syllables = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "é", "è", "ung", "sch", "ä", "ción", "ñ", "que", "eau")
-    word = lambda: "".join(pick(*syllables) for _ in range(rng.integers(1, 5)))
-    name = lambda: "".join(pick(*"abcdefghiklmnoprstu") for _ in range(rng.integers(3, 9)))
-    kind = int(rng.integers(-2, len(KINDS)))
+    marks, bar = rng.random() < 0.3, rng.random() < 0.2
+
+    def word() -> str:
+        w = "".join(pick(*syllables) for _ in range(rng.integers(1, 5)))
+        if rng.random() < 0.12:
+            w = w.capitalize()
+        if marks and rng.random() < 0.5:
+            w += pick("%", "*", "#", "$", "&", "<", ">", "~") * int(rng.integers(1, 4))
+        return w + pick(".", ",", "\n", ":") if rng.random() < 0.1 else w
+
+    words = lambda n: (" | " if bar else " ").join(word() for _ in range(n))
+    name = lambda: pick("".join(pick(*"abcdefghiklmnoprstu") for _ in range(rng.integers(2, 10))), "".join(pick("th", "er", "on", "an", "re", "he", "in", "sch", "ung", "que", "ti") for _ in range(rng.integers(1, 4))))
+    kind = int(rng.integers(-4, len(KINDS)))
     if kind == 0:
         local = name() + pick("", "." + digits(2), "_" + name(), "." + name(), "+" + name(), digits(2))
-        middle = pick("@", "@", "@", " @ ", " (at) ", "[at]")
+        middle = pick("@", "@", " @ ", " (at) ", "[at]", " [at] ")
         span = local + middle + pick("mail", "post", "web") + pick("", digits(1)) + "." + pick("example", name()) + "." + pick("com", "org", "net", "de", "fr")
     elif kind == 1:
-        dot = pick(".", ".", ".", " . ", "[.]")
+        dot = pick(".", ".", " . ", "[.]")
         span = dot.join(str(v) for v in rng.integers(1, 256, 4))
     elif kind == 2:
         d = digits(int(rng.integers(14, 17)))
-        span = pick(d, d, " ".join(d[k : k + 4] for k in range(0, len(d), 4)), "-".join(d[k : k + 4] for k in range(0, len(d), 4)), ".".join(d[k : k + 4] for k in range(0, len(d), 4)))
+        span = pick(d, *(gap.join(d[k : k + 4] for k in range(0, len(d), 4)) for gap in " -./"))
     elif kind == 3:
-        span = pick("+", "+", "00") + digits(int(rng.integers(1, 3))) + pick(" ", " (", "-") + digits(3) + pick(") ", " ", "-") + digits(3) + pick("-", " ", "") + digits(4)
+        span = pick("+", "+", "00", "00") + digits(int(rng.integers(1, 3))) + pick(" ", " (", "-") + digits(3) + pick(") ", " ", "-") + digits(3) + pick("-", " ", "") + digits(4)
         if rng.random() < 0.25:
             span = "(" + digits(3) + ") " + digits(3) + "-" + digits(4)
     elif kind == -1:
-        span = pick("", "Version 2.0.", "version 3.", "BY-NC 4.0.", f"password={digits(3)}f{digits(4)}bc{digits(6)}", f'token = "{digits(2)}bf{digits(3)}a{digits(5)}ef{digits(4)}"', "AKIA" + "".join(pick(*"ABCDEFGHJKQRSTXYZ234567") for _ in range(16)), str(rng.integers(1900, 2030)), digits(int(rng.integers(1, 6))), f"{digits(2)}.{digits(2)} EUR", f"{rng.integers(1990, 2030)}-{digits(2)}-{digits(2)}", f"@{name()}", f"v{digits(1)}.{digits(1)}.{digits(2)}")
+        span = pick("", "Version 2.0.", "version 3.", "BY-NC 4.0.", f"password={hexed(14)}", "AKIA" + "".join(pick(*"ABCDEFGHJKQRSTXYZ234567") for _ in range(16)), str(rng.integers(1900, 2030)), digits(int(rng.integers(1, 6))), f"{digits(2)}.{digits(2)} EUR", f"{rng.integers(1990, 2030)}-{digits(2)}-{digits(2)}", f"@{name()}", f"v{digits(1)}.{digits(1)}.{digits(2)}")
+    elif kind == -2:
+        span = pick('token = "', "id=", "sha256:", "") + hexed(int(rng.integers(16, 40))) + pick('"', "", ";")
     else:
         span = ""
-    before = " ".join(word() for _ in range(8))[-int(rng.integers(1, 40)) :] + pick(" ", " ", "\n", ". ", ", ", ": ", ' "', " (")
-    text = before + span + pick(" ", " ", ".", ",", "\n", ". ", '"', ")") + " ".join(word() for _ in range(12))
+    before = words(8)[-int(rng.integers(1, 40)) :] + (" | " if bar else pick(" ", " ", "\n", ". ", ", ", ": ", ' "', " (", "**", "<"))
+    ending = (pick("%", "*", "#", "$", "&") * int(rng.integers(1, 4)) + " ") if marks else " | " if bar else pick(" ", " ", ".", ",", "\n", ". ", '"', ")", ">")
+    text = before + span + ending + words(12)
     shift = int(rng.integers(0, 12)) if rng.random() < 0.15 else 0
     text = text[shift:][:WINDOW]
     start, end = len(before) - shift, min(WINDOW, len(before) - shift + len(span))
