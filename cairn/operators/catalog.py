@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.tiles import morton
+from cairn.operators.ordered import percentiles
+from cairn.session import materialize
 
 
 def best_tiles(stored: DataFrame) -> DataFrame:
@@ -104,8 +106,10 @@ def level_stats(required: DataFrame, stored: DataFrame) -> DataFrame:
     """Per level: required tiles, missing ones, and exact percentiles of the stored sizes in kB; 0 where there are none."""
     joined = required.join(best_tiles(stored), ["level", "x", "y"], "left")
     held = F.when(F.col("bytes") > 0, F.col("bytes") / 1000.0)
-    p = lambda q: F.coalesce(F.percentile(held, q), F.lit(0.0))
-    return joined.groupBy("level").agg(F.count("*").alias("total"), F.count_if(held.isNull()).alias("missing"), p(0.5).alias("median_kb"), p(0.05).alias("p5_kb"), p(0.95).alias("p95_kb"))
+    joined = materialize(joined.select("level", held.alias("kb")), "sizes")
+    found = percentiles(joined, ["level"], "kb", {"median_kb": 0.5, "p5_kb": 0.05, "p95_kb": 0.95})
+    counted = joined.groupBy("level").agg(F.count("*").alias("total"), F.count_if(F.col("kb").isNull()).alias("missing")).join(found, "level", "left")
+    return counted.select("level", "total", "missing", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in ("median_kb", "p5_kb", "p95_kb")])
 
 
 def repair(catalogue: DataFrame, stored: DataFrame, level: int, deepest: int) -> DataFrame:

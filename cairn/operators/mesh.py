@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.ordered import numbered
 from cairn.session import materialize
 
 
@@ -143,10 +144,10 @@ def skirt(faces: DataFrame, vertices: DataFrame, drop: float) -> tuple[DataFrame
     last = faces.agg(F.max("fid")).first()[0] or 0
     ring = edges.select(F.col("u").alias("vid")).union(edges.select("v")).distinct()
     below = vertices.join(ring, "vid").select((F.col("vid") + top + 1).alias("vid"), "x", "y", (F.col("z") - drop).alias("z"))
-    numbered = edges.withColumn("n", F.row_number().over(Window.orderBy("u", "v")))
+    placed = numbered(edges.select("u", "v"), [], ["u", "v"], "n")
     lower = lambda k: F.col(k) + top + 1
     pair = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("u").alias("a"), lower("u").alias("b"), F.col("v").alias("c")), F.struct(F.lit(1).alias("k"), F.col("v").alias("a"), lower("u").alias("b"), lower("v").alias("c"))))
-    walls = numbered.select("n", pair.alias("t")).select((F.lit(last) + 2 * F.col("n") - 1 + F.col("t.k")).cast("long").alias("fid"), "t.a", "t.b", "t.c")
+    walls = placed.select("n", pair.alias("t")).select((F.lit(last) + 2 * F.col("n") - 1 + F.col("t.k")).cast("long").alias("fid"), "t.a", "t.b", "t.c")
     return below, walls
 
 

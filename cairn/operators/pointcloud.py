@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.geometry import representative_angle
+from cairn.operators.ordered import numbered
 from cairn.operators.spatial_join import nearest_join, neighbours
 
 
 def dense_ids(points: DataFrame, key: str, seq: list[str]) -> DataFrame:
     """Distinct keys numbered from 0 in the order of their first row."""
     first = points.groupBy(key).agg(F.min(F.struct(*seq)).alias("_first"))
-    return first.select(key, (F.row_number().over(Window.orderBy("_first")) - 1).alias("dense_id"))
+    return numbered(first, [], ["_first"], "_place").select(key, (F.col("_place") - 1).alias("dense_id"))
 
 
 def source_stats(points: DataFrame) -> DataFrame:

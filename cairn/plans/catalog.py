@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text
 from cairn.operators import catalog as cat
+from cairn.operators.ordered import percentiles
 from cairn.plans.registry import query
 
 C = F.col
@@ -11,8 +12,8 @@ C = F.col
 
 @query("SELECT round(quantile_cont(bytes, 0.5), 4)::DOUBLE AS p50, round(quantile_cont(bytes, 0.05), 4)::DOUBLE AS p5, round(quantile_cont(bytes, 0.95), 4)::DOUBLE AS p95, level FROM v_tile WHERE bytes > 0 GROUP BY level")
 def agg15_percentile(t):
-    p = lambda q: F.round(F.percentile("bytes", q), 4)
-    return t.v_tile.where("bytes > 0").groupBy("level").agg(p(0.5).alias("p50"), p(0.05).alias("p5"), p(0.95).alias("p95"))
+    found = percentiles(t.v_tile.where("bytes > 0"), ["level"], "bytes", {"p50": 0.5, "p5": 0.05, "p95": 0.95})
+    return found.select("level", *[F.round(k, 4).alias(k) for k in ("p50", "p5", "p95")])
 
 
 _BEST = "b AS (SELECT level, x, y, max(bytes) AS bytes FROM v_tile GROUP BY ALL)"

@@ -1,9 +1,9 @@
 """Queries on event streams, in batch form."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.operators import events as ev
+from cairn.operators.ordered import numbered
 from cairn.plans.registry import query
 
 C = F.col
@@ -38,5 +38,5 @@ def str05_playback(t):
 
 @query("SELECT o_orderkey, level, row_number() OVER w AS done, count(*) OVER (PARTITION BY level) AS total FROM v_tile WINDOW w AS (PARTITION BY level ORDER BY o_orderkey)")
 def str06_progress(t):
-    w = Window.partitionBy("level")
-    return t.v_tile.select("o_orderkey", "level", F.row_number().over(w.orderBy("o_orderkey")).cast("long").alias("done"), F.count("*").over(w).alias("total"))
+    jobs = t.v_tile.select("o_orderkey", "level")
+    return numbered(jobs, ["level"], ["o_orderkey"], "done").join(jobs.groupBy("level").agg(F.count("*").alias("total")), "level")

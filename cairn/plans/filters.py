@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import geometry as g
 from cairn.functions import text
+from cairn.operators.ordered import numbered
 from cairn.plans.registry import query
 
 C = F.col
@@ -255,7 +256,7 @@ def ord03_search_limit(t):
 
 @query("SELECT document_id, waypoint_type, row_number() OVER (PARTITION BY waypoint_type ORDER BY document_id) AS seq FROM v_poi")
 def ord04_stable_group_sort(t):
-    return t.v_poi.select("document_id", "waypoint_type", F.row_number().over(Window.partitionBy("waypoint_type").orderBy("document_id")).cast("long").alias("seq"))
+    return numbered(t.v_poi.select("document_id", "waypoint_type"), ["waypoint_type"], ["document_id"], "seq")
 
 
 @query("SELECT waypoint_type, min(document_id) AS first_id FROM v_poi GROUP BY ALL")

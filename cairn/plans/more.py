@@ -1,10 +1,10 @@
 """Queries on the smaller helpers: keys, paths, boxes, documents, composed pipelines."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.functions import frames, geometry, tiles
 from cairn.operators import pointcloud as pc
+from cairn.operators.ordered import numbered
 from cairn.plans.registry import query
 from cairn.plans.tiling import K, lonlat
 
@@ -190,7 +190,7 @@ def msc24_tile_under_crosshair(t):
 @query("SELECT document_id, row_number() OVER (PARTITION BY waypoint_type ORDER BY sqrt(x_m * x_m + y_m * y_m), document_id) AS pos FROM v_poi")
 def ord06_depth_sort(t):
     depth = F.sqrt((C("x_m") * C("x_m") + C("y_m") * C("y_m")).cast("double"))
-    return t.v_poi.select("document_id", F.row_number().over(Window.partitionBy("waypoint_type").orderBy(depth, "document_id")).cast("long").alias("pos"))
+    return numbered(t.v_poi.select("document_id", "waypoint_type", depth.alias("depth")), ["waypoint_type"], ["depth", "document_id"], "pos").select("document_id", "pos")
 
 
 @query("WITH p AS (SELECT document_id AS id, x_m % 5000 AS x, y_m % 5000 AS y FROM v_poi), d AS (SELECT id, sqrt(((p.x - x0) * (p.x - x0) + (p.y - y0) * (p.y - y0))::DOUBLE) AS d FROM p, v_footprint QUALIFY row_number() OVER (PARTITION BY id ORDER BY (p.x - x0) * (p.x - x0) + (p.y - y0) * (p.y - y0), cleabs) = 6) SELECT round(quantile_cont(d, 0.5), 6) AS scale FROM d")
@@ -299,7 +299,7 @@ _CODE = " + ".join(f"((x // 10 >> {k}) & 1) * {4**k} + ((y // 10 >> {k}) & 1) *
 def ana15_vertex_order(t):
     """Vertices along a Morton curve, the relational counterpart of a cache-friendly order."""
     code = tiles.morton(F.floor(C("x") / 10), F.floor(C("y") / 10), 8)
-    return t.v_mesh_vertex.select("vid", code.alias("code")).select("vid", (F.row_number().over(Window.orderBy("code", "vid")) - 1).cast("long").alias("pos"))
+    return numbered(t.v_mesh_vertex.select("vid", code.alias("code")), [], ["code", "vid"], "place").select("vid", (C("place") - 1).alias("pos"))
 
 
 @query("SELECT min(z)::DOUBLE AS low, max(z)::DOUBLE AS high FROM (SELECT unnest([a, b, c]) AS vid FROM v_mesh_face) JOIN v_mesh_vertex USING (vid)")

@@ -1,9 +1,9 @@
 """Queries on point clouds."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.operators import pointcloud as pc
+from cairn.operators.ordered import numbered
 from cairn.operators.spatial_join import neighbours
 from cairn.plans.registry import query
 
@@ -106,8 +106,9 @@ def agg26_height_grid(t):
 
 @query("SELECT source_id, gps_time, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY source_id ORDER BY gps_time, l_orderkey, l_linenumber, x_cm, y_cm, z_cm, l_partkey) AS pos FROM v_point")
 def win07_scanline_order(t):
-    w = Window.partitionBy("source_id").orderBy("gps_time", *SEQ)
-    return t.v_point.select("source_id", "gps_time", "l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("pos"))
+    order = ["gps_time", *SEQ]
+    p = t.v_point.select(*dict.fromkeys(["source_id", "gps_time", "l_orderkey", "l_linenumber", *order]))
+    return numbered(p, ["source_id"], order, "pos").select("source_id", "gps_time", "l_orderkey", "l_linenumber", "pos")
 
 
 @query("""WITH c AS (SELECT x_cm // 20000 AS i, y_cm // 20000 AS j, sum(z_cm) AS z, count(*) AS n FROM v_point GROUP BY ALL)

@@ -198,3 +198,20 @@ def test_ply_and_glb_round_trip():
     assert meshes.decode_ply(text_)[1].tolist() == [[0, 1, 2], [0, 2, 3]]
     glb = meshes.encode_glb(v, f)
     assert len(glb) % 4 == 0 and meshes.glb_heights(glb) == (1, 3) and meshes.glb_heights(b"nope") is None
+
+
+def test_places_and_percentiles(spark):
+    from cairn.operators.ordered import numbered, percentiles
+
+    rows = [(None if n % 7 == 0 else n % 3, n * 37 % 101, n) for n in range(500)]
+    df = spark.createDataFrame(rows, "k long, v long, n long")
+    want, seen = {}, {}
+    for k, v, n in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])):
+        seen[k] = seen.get(k, 0) + 1
+        want[n] = seen[k]
+    assert {r["n"]: r["place"] for r in numbered(df, ["k"], ["v", "n"], "place").collect()} == want
+    assert sorted(r["place"] for r in numbered(df, [], ["v"], "place").collect()) == list(range(1, 501))
+    assert numbered(df.limit(0), ["k"], ["v"], "place").count() == 0 == percentiles(df.limit(0), ["k"], "v", {"a": 0.5}).count()
+    for r in percentiles(df, ["k"], "v", {"low": 0.05, "mid": 0.5, "top": 1.0}).collect():
+        values = [v for k, v, _ in rows if k == r["k"]]
+        assert (r["low"], r["mid"], r["top"]) == pytest.approx(tuple(np.percentile(values, [5, 50, 100])))
