@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,29 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...], max_repeats: in
     return totals.withColumn("target", F.least(F.col("weight") * level, F.col("cap").cast("double"))).select("source", "source_size", "target")
 
 
+def running_starts(by_part: DataFrame, ranges: int) -> DataFrame:
+    """source, part, start: part_size of all parts of the source before it; null sources are one.
+
+    Parts are summed by blocks of about the root of their number, so each window holds the root of ``ranges`` rows of a
+    source at most.
+    """
+    fan = math.isqrt(ranges) + 1
+    parts = by_part.withColumn("block", F.floor(F.col("part") / fan))
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda column, *by: F.coalesce(F.sum(column).over(earlier(*by)), F.lit(0))
+    blocks = parts.groupBy("source", "block").agg(F.sum("part_size").alias("block_size"))
+    blocks = blocks.select("source", "block", before("block_size", "source", "block").alias("base")).alias("b")
+    inner = parts.withColumn("within", before("part_size", "source", "block", "part")).alias("i")
+    joined = inner.join(blocks, F.col("i.source").eqNullSafe(F.col("b.source")) & (F.col("i.block") == F.col("b.block")))
+    return joined.select("i.source", "part", (F.col("base") + F.col("within")).alias("start"))
+
+
+def _crossing(by_span: DataFrame, before: int, total: int):
+    """The first span whose running sum, from ``before`` on, exceeds ``total``: span, span_size, upto; None if none does."""
+    upto = F.sum("span_size").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(before)
+    return by_span.withColumn("upto", upto).where(F.col("upto") > total).orderBy("span").first()
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeats: int = 3, seed: str = "mix") -> DataFrame:
     """Mix documents to target weights; one row per input row with doc_id, source, size, source_size, target, taken.
 
@@ -48,7 +73,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repea
     The queue is sorted globally by finish time, range by range, and cut at the total budget; ``taken`` is the document's
     size times the repeats that stand before the cut.
 
-    The cumulative sizes are two-level prefix sums over ranges of the shuffled order, so no source stands in one task.
+    The cumulative sizes are prefix sums in three levels over ranges of the shuffled order, and the cut is searched in two
+    levels of spans of finish time, so a window holds about the root of the number of ranges.
     Null or empty text has size 0 and taken 0; null source is a source of its own, the last; rows with equal doc_id are
     queued each by itself; an empty table gives an empty result; other columns of ``docs`` are ignored.
     """
@@ -58,9 +84,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repea
     part = F.floor(F.conv(F.substring("u", 1, 7), 16, 10).cast("long") * ranges / 16**7)
     sized = sized.withColumn("u", shuffled).withColumn("part", part)
 
-    by_part = sized.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    by_part = by_part.withColumn("start", F.coalesce(F.sum("part_size").over(before), F.lit(0))).drop("part_size")
+    by_part = running_starts(sized.groupBy("source", "part").agg(F.sum("size").alias("part_size")), ranges)
     targets = source_targets(sized, weights, max_repeats)
     by_part = by_part.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.*", "source_size", "target")
 
@@ -80,10 +104,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repea
     entries = queued.select("size", F.explode(F.array(*[key(e) for e in range(max_repeats)])).alias("key"))
     span = F.least(F.floor(F.col("key.finish") * ranges), F.lit(4 * ranges))
     entries = entries.withColumn("span", span)
-    by_span = entries.groupBy("span").agg(F.sum("size").alias("span_size"))
-    upto = F.sum("span_size").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, 0))
     total = sized.agg(F.sum("size")).first()[0] or 0
-    crossing = by_span.withColumn("upto", upto).where(F.col("upto") > total).orderBy("span").first()
+    fan = math.isqrt(4 * ranges) + 1
+    by_span = materialize(entries.groupBy("span").agg(F.sum("size").alias("span_size")), "mix-spans")
+    crossing = _crossing(by_span.groupBy(F.floor(F.col("span") / fan).alias("span")).agg(F.sum("span_size").alias("span_size")), 0, total)
+    if crossing is not None:
+        crossing = _crossing(by_span.where(F.floor(F.col("span") / fan) == crossing["span"]), crossing["upto"] - crossing["span_size"], total)
     if crossing is None:
         taken_repeats = F.when((F.col("size") > 0) & (F.col("target") > 0), F.lit(max_repeats)).otherwise(0)
     else:
