@@ -47,18 +47,30 @@ def neighbours(cells: DataFrame, radius: int, i: str = "i", j: str = "j") -> Dat
 def nearest_join(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, k: int, size: float, qx: str = "x", qy: str = "y", px: str = "px", py: str = "py") -> DataFrame:
     """The ``k`` nearest points of each query: query_id, point_id, d2 (squared distance), rn; ties by point_id.
 
-    Rings of bins around the query are searched; after each round queries with ``k`` points within the searched
-    distance are done, the rest go on with twice the reach, until the reach spans all points. Joins are by bin, so a
-    query never meets all points unless its surroundings are that empty. Each round is a table in the shared folder.
+    Of points at the same place the ``k`` least take part, and queries at the same place are one, whose result all get.
+    Rings of bins around a place are searched, the first of ``size`` or, where that puts over 4 ``k`` points in a bin, of
+    less; after each round places with ``k`` points within the searched distance are done, the rest go on with four times
+    the reach, until the reach spans all points. Each round is a table in the shared folder. Points and queries
+    without a place are in no pair.
     """
+    spark = queries.sparkSession
+    there = Window.partitionBy(px, py).orderBy(point_id)
+    points = points.select(point_id, px, py).where(F.col(px).isNotNull() & F.col(py).isNotNull()).withColumn("_r", F.row_number().over(there)).where(F.col("_r") <= k).drop("_r")
+    points = materialize(points, "nearest-points")
     extent = points.agg(F.min(px), F.max(px), F.min(py), F.max(py)).first()
     ask = queries.agg(F.min(qx), F.max(qx), F.min(qy), F.max(qy)).first()
-    spark = queries.sparkSession
-    if extent[0] is None or ask[0] is None:
+    if None in (extent[0], ask[0], ask[2]):
         schema = queries.select(query_id).schema.fields + points.select(point_id).schema.fields
         return spark.createDataFrame([], f"`{query_id}` {schema[0].dataType.simpleString()}, `{point_id}` {schema[1].dataType.simpleString()}, d2 double, rn int")
     reach_all = max(extent[1], ask[1]) - min(extent[0], ask[0]) + max(extent[3], ask[3]) - min(extent[2], ask[2]) + size
-    left, done, reach = queries.select(query_id, qx, qy), [], size
+    everyone, query, reach = queries.select(query_id, qx, qy), query_id, size
+    held = lambda: points.groupBy(*(F.floor(F.col(c) / reach).cast("long").alias(c) for c in (px, py))).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    while reach > reach_all * 1e-9 and held() > 4 * k:
+        reach /= 2
+    places = everyone.where(F.col(qx).isNotNull() & F.col(qy).isNotNull()).select(qx, qy).distinct().withColumn("_place", F.monotonically_increasing_id())
+    places = materialize(places, "nearest-places")
+    query_id = "_place"
+    left, done = places, []
     while True:
         last = reach >= reach_all
         bins = lambda v: F.floor(v / reach).cast("long")  # noqa: E731, B023
@@ -78,7 +90,8 @@ def nearest_join(queries: DataFrame, points: DataFrame, query_id: str, point_id:
         if left.isEmpty():
             break
         reach *= 4
-    return reduce(DataFrame.unionByName, done)
+    near = reduce(DataFrame.unionByName, done).join(places.withColumnsRenamed({qx: "_qx", qy: "_qy"}), query_id)
+    return everyone.join(near, (F.col(qx) == F.col("_qx")) & (F.col(qy) == F.col("_qy"))).select(query, point_id, "d2", "rn")
 
 
 def nearest_ancestor(tiles: DataFrame, cached: DataFrame, depth: int = 6) -> DataFrame:
