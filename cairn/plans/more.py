@@ -199,7 +199,8 @@ def agg27_range_scale(t):
 
     p = t.v_poi.select(C("document_id").alias("id"), (C("x_m") % 5000).alias("x"), (C("y_m") % 5000).alias("y"))
     q = t.v_footprint.select(C("cleabs").alias("gid"), C("x0").alias("px"), C("y0").alias("py"))
-    return nearest_join(p, q, "id", "gid", 6, 800.0).where("rn = 6").agg(F.round(F.percentile(F.sqrt("d2"), 0.5), 6).alias("scale"))
+    sixth = nearest_join(p, q, "id", "gid", 6, 800.0).where("rn = 6").groupBy("d2").agg(F.count("*").alias("n"))
+    return sixth.agg(F.round(F.percentile(F.sqrt("d2"), 0.5, C("n")), 6).alias("scale"))
 
 
 @query()
