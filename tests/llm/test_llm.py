@@ -542,6 +542,38 @@ def test_near_copies_by_shingle_similarity(spark, texts, empty):
     assert [r.component_id for r in simhash.near_copies(repeated).orderBy("component_id").collect()] == [3, 3, 7, 7]
 
 
+def test_near_copies_link_every_similar_pair(spark):
+    """Groups are those of all pairs of 0.75 or more, in which most are just above or below it; a hub and its copies too."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(40):
+        source = words(rng.choice([30, 60, 150]), rng).split()
+        rows.append(" ".join(source))
+        for _ in range(2):
+            copy = list(source)
+            for _ in range(rng.randint(1, max(1, len(copy) // 30))):
+                copy[rng.randrange(len(copy))] = words(1, rng)
+            rows.append(" ".join(copy))
+    hub = words(80, rng).split()
+    rows.append(" ".join(hub))
+    for _ in range(60):
+        copy = list(hub)
+        for at in rng.sample(range(80), 2):
+            copy[at] = words(1, rng)
+        rows.append(" ".join(copy))
+    sets, root = [shingle_set(t) for t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    got = by_id(simhash.near_copies(table(spark, rows)), "component_id")
+    got = [got[i][0] for i in range(len(rows))]
+    assert not [(i, j) for i in range(len(rows)) for j in range(i) if root[i] == root[j] and got[i] != got[j]]
+    assert got == root
+    assert len(set(root)) < len(rows) - 60
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (7, 7)] + [(1000, k) for k in range(1001, 1050)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
