@@ -574,6 +574,26 @@ def test_near_copies_link_every_similar_pair(spark):
     assert len(set(root)) < len(rows) - 60
 
 
+def test_near_copies_make_sets_of_likely_pairs_only(spark, monkeypatch):
+    """Texts that share a rare shingle and are otherwise different have no table of whole sets; a real pair is in it."""
+    rng = random.Random(6)
+    shared = words(8, rng)
+    rows = [shared + " " + words(120, rng) for _ in range(12)]
+    tables, write = {}, simhash.materialize
+
+    def materialize(df, tag):
+        written = write(df, tag)
+        tables[tag] = written.count()
+        return written
+
+    monkeypatch.setattr(simhash, "materialize", materialize)
+    assert sorted(r.component_id for r in simhash.near_copies(table(spark, rows)).collect()) == list(range(12))
+    assert tables["shared-shingles"] >= 12 and [n for tag, n in tables.items() if tag.endswith("-sets")] == [0, 0]
+    rows.append(rows[3] + " more")
+    assert by_id(simhash.near_copies(table(spark, rows)), "component_id")[12] == (3,)
+    assert tables["star-sets"] + tables["apart-sets"] >= 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (7, 7)] + [(1000, k) for k in range(1001, 1050)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
