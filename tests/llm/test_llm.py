@@ -575,10 +575,9 @@ def test_near_copies_link_every_similar_pair(spark):
 
 
 def test_near_copies_make_sets_of_likely_pairs_only(spark, monkeypatch):
-    """Texts that share a rare shingle and are otherwise different have no table of whole sets; a real pair is in it."""
+    """Texts that share rare shingles and are otherwise different have no table of whole sets; a real pair is in it."""
     rng = random.Random(6)
-    shared = words(8, rng)
-    rows = [shared + " " + words(120, rng) for _ in range(12)]
+    rows = [shared + " " + words(120, rng) for shared in [words(30, rng) for _ in range(6)] for _ in range(2)]
     tables, write = {}, simhash.materialize
 
     def materialize(df, tag):
