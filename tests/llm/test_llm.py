@@ -147,6 +147,25 @@ def test_passages_between_the_ends_of_a_seed(spark):
     assert out[0][1] == [1] and out[1][1] == [0]
 
 
+def test_passages_between_places_that_are_not_neighbours(spark):
+    """Two texts share one seed with many others, which stand between them in both orders; only the two are alike."""
+    rng = random.Random(12)
+    seed = min((words(5, rng, "pqrst") for _ in range(4000)), key=lambda t: int(substring_dedup.seeds(t.encode())[0].view(np.uint64)[0]))
+    left, right = [words(4, rng).split() for _ in range(3)], [words(4, rng).split() for _ in range(3)]
+
+    def like(mark):
+        before = [w for part in left for w in [*part, mark + words(1, rng)]]
+        after = [w for part in right for w in [mark + words(1, rng), *part]]
+        return " ".join([words(40, rng), *before, seed, *after, words(40, rng)])
+
+    def unlike(mark):
+        return " ".join([words(50, rng), mark + words(1, rng), seed, mark + words(1, rng), words(50, rng)])
+
+    rows = [like("c"), like("n")] + [unlike(m) for m in "bdefghijklmo" for _ in range(4)]
+    found = by_id(substring_dedup.repeated_passages(table(spark, rows)), "n_passages", "n_repeated")
+    assert set(found) == {0, 1} and all(n == 1 and 33 <= k <= 37 for n, k in found.values())
+
+
 def test_passages_at_every_place_of_a_seed(spark):
     """The passage's words stand in each text once more, seed by seed, before the passage itself."""
     rng = random.Random(13)
