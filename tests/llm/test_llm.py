@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -612,6 +613,38 @@ def test_near_copies_make_sets_of_likely_pairs_only(spark, monkeypatch):
     assert tables["star-sets"] + tables["apart-sets"] >= 2
 
 
+def test_near_copies_compare_large_groups_by_few_pairs(spark, monkeypatch):
+    """A large family whose rare shingles lead to unlike texts first: a pair or two for each text, and still one group."""
+    rng = random.Random(8)
+    hub, rows = words(80, rng).split(), []
+    for _ in range(150):
+        copy = list(hub)
+        copy[rng.randrange(80)] = words(1, rng)
+        rows.append(" ".join(copy))
+    # longer texts with a part of the hub: of most shingles the least node is one of these
+    rows += [" ".join(hub[k % 4 * 20 : k % 4 * 20 + 24]) + " " + words(200, rng) for k in range(300)]
+    tables, write = collections.Counter(), simhash.materialize
+
+    def materialize(df, tag):
+        written = write(df, tag)
+        tables[tag] += written.count()
+        return written
+
+    monkeypatch.setattr(simhash, "materialize", materialize)
+    got = by_id(simhash.near_copies(table(spark, rows)), "component_id")
+    assert {got[k] for k in range(150)} == {(0,)} and len({got[k] for k in range(150, 450)}) == 300
+    assert tables["nearest-apart"] + tables["apart-pairs"] <= 450, tables
+
+
+def test_nearest_apart_gives_a_row_for_each_node():
+    """200 equal sets of as many groups make 200 rows, not their 19,900 pairs; all pairs are given when all are asked for."""
+    k = np.arange(200)
+    same = [b"\0" * (simhash.PARITY_BITS // 8)] * 200
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (0 * k, k, (0 * k + 100) << 32, k, same)], names=["token", "node", "place", "group", "bits"])
+    assert simhash._nearest_apart(batch).column("a").to_pylist() == k.tolist()
+    assert simhash._apart_pairs(batch).num_rows == 200 * 199 // 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (7, 7)] + [(1000, k) for k in range(1001, 1050)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
