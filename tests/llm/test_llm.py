@@ -241,6 +241,24 @@ def test_passages_against_brute_force(spark):
             assert r.matched <= longest_common(a, b) and 2 * r.matched >= 0.8 * (len(a) + len(b)) - 1e-9
 
 
+def test_contexts_are_aligned_in_their_block(spark, monkeypatch):
+    """Passages between contexts without a table of pairs; words on different sides of a seed are none in common."""
+    rng = random.Random(3)
+    seed, x, y = (words(k, rng).encode().split() for k in (5, 26, 26))
+    bits = [np.frombuffer(substring_dedup.context_bits(w, k), np.uint64) for w, k in ((x + seed, 26), (seed + x, 0))]
+    assert np.bitwise_count(bits[0] ^ bits[1]).sum() > 30
+    tags, write = [], substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df, tag: (tags.append(tag), write(df, tag))[1])
+    rows = []
+    for key, (before, after) in enumerate([(x, y), (x[:20] + y[:6], y), (y, x), (y[::-1], x[::-1])]):
+        before, after = before[::-1], seed + after
+        rows.append((7, key, 100, key == 3, bytearray(b" ".join(before)), bytearray(b" ".join(after[:30]))))
+    places = spark.createDataFrame(rows, "seed long, key long, at long, within boolean, before binary, after binary")
+    got = substring_dedup.between_contexts(places, 30, 0.8).collect()
+    assert {(r.text, r.other) for r in got} == {(0, 1), (1, 0)} and min(r.matched for r in got) >= 30
+    assert "context-passages" in tags and "context-pairs" not in tags
+
+
 # 3 toxicity
 
 
