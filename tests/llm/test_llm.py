@@ -259,6 +259,67 @@ def test_contexts_are_aligned_in_their_block(spark, monkeypatch):
     assert "context-passages" in tags and "context-pairs" not in tags
 
 
+def test_seeds_of_repeated_words_are_few():
+    """A run of one word or a few has a seed at its ends and in each SPREAD neighbours; every window still has its seed."""
+    assert len(substring_dedup.seeds(b"the " * 1000)[0]) <= 52
+    rng = random.Random(4)
+    for _ in range(300):
+        few = [rng.sample("abcdefghij", rng.randint(1, 9)) * rng.randint(1, 30) for _ in range(rng.randint(1, 5))]
+        text = [w for part in few for w in [*part, *words(rng.randint(0, 8), rng).split()]]
+        h, at, first, count = substring_dedup.seeds(" ".join(text).encode())
+        of = {}
+        for v, p, f, n in zip(h.tolist(), at.tolist(), first.tolist(), count.tolist()):
+            assert all(k <= p <= k + 25 for k in range(f, f + n))
+            of |= {k: v for k in range(f, f + n)}
+        assert sorted(of) == list(range(max(0, len(text) - 29)))
+        assert all(set(at.tolist()) & set(range(k, k + 20)) for k in range(len(text) - 23))
+        same = {}
+        assert all(same.setdefault(tuple(text[k : k + 30]), v) == v for k, v in of.items())
+
+
+def test_passages_between_runs_of_different_lengths(spark):
+    """A word is repeated in very many texts; passages that begin, or end, in such a run are met from that end of it."""
+    rng = random.Random(17)
+    tail, head = words(26, rng), words(26, rng)
+    rows = [f"{words(40, rng)} {'the ' * n}{tail} {words(30, rng)}" for n in (9, 57)]
+    rows += [f"{words(30, rng)} {head} {'of ' * n}{words(40, rng)}" for n in (11, 70)]
+    rows += [f"{words(40, rng)} {'the ' * rng.randint(7, 20)}{words(40, rng)}" for _ in range(30)]
+    out = by_id(substring_dedup.repeated_passages(table(spark, rows)), "partner_ids", "n_repeated")
+    assert out.keys() == {0, 1, 2, 3} and all(33 <= n <= 40 for _, n in out.values())
+    assert [out[k][0] for k in range(4)] == [[1], [0], [3], [2]]
+
+
+def test_contexts_without_a_passage_are_not_aligned(monkeypatch):
+    """Contexts of the same words in other orders are likely pairs: only those whose alignment goes on are aligned, and
+    the passages are those of all pairs."""
+    rng = random.Random(6)
+    seed, pool = words(5, rng).encode().split(), words(50, rng).encode().split()
+    around = []
+    for _ in range(120):
+        w = rng.sample(pool, 50)
+        around.append((w[:25], w[25:]))
+    for k in range(12):
+        before, after = (list(x) for x in around[k])
+        for side in (before, after):
+            side[rng.randrange(25)] = b"zz"
+        del after[rng.randrange(25) : 26 - k]
+        around.append((before[k:], after + before[:k]))
+    rows = [{"seed": 1, "id": k, "within": k % 3 == 0, "before": b" ".join(b[::-1]), "after": b" ".join(seed + a)} for k, (b, a) in enumerate(around)]
+    batch = next(iter(substring_dedup._bits_work([pa.RecordBatch.from_pylist(rows)])))
+    batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array([0] * len(rows)), pa.array([5] * len(rows))], names=[*batch.schema.names, "chunk", "token"])
+    calls, align = [], substring_dedup.align
+    monkeypatch.setattr(substring_dedup, "align", lambda *x: (calls.append(1), align(*x))[1])
+    got = {tuple(r.values()) for b in substring_dedup._between_work(30, 0.8)([batch]) for r in b.to_pylist()}
+    n, want = len(calls), set()
+    for i, (b, a) in enumerate(around):
+        for j, (d, c) in enumerate(around):
+            if i % 3 and i != j and (i < j or j % 3 == 0):
+                for s, e, t, f, m in substring_dedup.similar_parts(align(b + seed + a, d + seed + c, [(len(b), len(d))]), 0.8):
+                    if min(e - s, f - t) >= 30:
+                        want.add((1, i, j, s - len(b), e - len(b), t - len(d), f - len(d), m))
+    assert got == want and len(want) > 3 and n < 1000
+
+
 # 3 toxicity
 
 
