@@ -57,11 +57,11 @@ def jon10_nearest_green_pixel(t):
     return sj.nearest_join(p, q.where("gid % 3 = 0"), "id", "gid", 1, 400.0).select("id", "gid")
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rn FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0 QUALIFY rn <= 3")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rn FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY rn <= 3")
 def jon09_embedding_neighbours(t):
     from cairn.operators.vectors import nearest_vectors
 
-    return nearest_vectors(t.embeddings.where("vec_id % 20 = 0"), t.embeddings, 3)
+    return nearest_vectors(t.embeddings, t.embeddings, 3)
 
 
 @query("SELECT cleabs, x >> 0 AS tx, y AS ty FROM (SELECT cleabs, unnest(range(x0 // 100, x1 // 100 + 1)) AS x, y0, y1 FROM v_footprint), (SELECT unnest(range(0, 60)) AS y) WHERE y BETWEEN y0 // 100 AND y1 // 100")

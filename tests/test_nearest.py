@@ -41,3 +41,17 @@ def test_nearest_vectors_with_missing_and_equal_ones(spark):
         want = [(a, b, r + 1) for a, u in rows if a % 20 == 0 for r, (_, b) in enumerate(sorted((distance(u, v), b) for b, v in rows if b != a)[:k])]
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert nearest_vectors(table.limit(0), table, 3).count() == 0 == nearest_vectors(table.limit(3), table.limit(0), 3).count()
+
+
+def test_embedding_neighbours_asks_for_every_vector(spark):
+    """The query gives each vector of its table its three nearest others."""
+    from cairn.plans import registry
+    from cairn.session import read_table
+
+    sf = "/root/testdata/sf0.001"
+    rows = sorted(map(tuple, read_table(spark, sf, "embeddings").select("vec_id", "embedding").collect()))
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], np.float64)
+    d = ((v[:, None] - v[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = [(int(ids[a]), int(ids[b]), r + 1) for a in range(len(ids)) for r, b in enumerate(np.lexsort((ids, d[a]))[:3])]
+    assert sorted(map(tuple, registry.queries()["jon09_embedding_neighbours"](spark, sf).collect())) == sorted(want)
