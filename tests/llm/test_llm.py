@@ -241,6 +241,26 @@ def test_passages_against_brute_force(spark):
             assert r.matched <= longest_common(a, b) and 2 * r.matched >= 0.8 * (len(a) + len(b)) - 1e-9
 
 
+def test_equal_windows_in_a_row_are_one_passage(spark):
+    """One row for windows that follow each other in both texts, not one for each window."""
+    rows = [(1, 5, list(range(1, 101))), (2, 50, list(range(1, 101))), (3, 0, list(range(40, 61))), (4, 0, [])]
+    got = substring_dedup.equal_windows(spark.createDataFrame(rows, "key long, first long, windows array<long>"), 30).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 5, 73, 50, 118, 68), (1, 2, 65, 134, 110, 179, 69), (1, 3, 44, 94, 0, 50, 50), (2, 1, 50, 179, 5, 134, 129), (3, 1, 0, 50, 44, 94, 50)]
+
+
+def test_seeds_of_many_texts_at_once():
+    """Texts side by side have the seeds that each has alone, with short, empty and repetitive ones among them."""
+    rng = random.Random(8)
+    texts = [[rng.choice([b"a", b"b", b"c", b"d"][: rng.randrange(1, 5)]) for _ in range(rng.choice((0, 3, 5, 12, 30, 90)))] for _ in range(200)]
+    h, place, many = substring_dedup.packed_seeds(texts)
+    ends = np.cumsum(many)
+    for text, s, e in zip(texts, ends - many, ends, strict=True):
+        alone = substring_dedup.packed_seeds([text])
+        assert (alone[0] == h[s:e]).all() and (alone[1] == place[s:e]).all() and len(alone[0]) == e - s
+        assert (substring_dedup.seeds(b" ".join(text))[0] == h[s:e]).all()
+    assert sum(many) == len(h) and all((n > 0) == (len(t) >= 5) for n, t in zip(many, texts, strict=True))
+
+
 def test_contexts_are_aligned_in_their_block(spark, monkeypatch):
     """Passages between contexts without a table of pairs; words on different sides of a seed are none in common."""
     rng = random.Random(3)
